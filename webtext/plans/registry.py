@@ -183,3 +183,300 @@ def keyword_hits_by_domain(spark, sf):
     f = filtered(spark, sf, elements(spark, sf))
     return (f.groupBy("country", "domain")
             .agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("url").alias("urls")))
+
+
+# ---- crawl bookkeeping ---------------------------------------------------------------------
+
+from ..functions import repair  # noqa: E402
+from ..operators import (agreement, classes, coverage, facts, language, report,  # noqa: E402
+                         sampling, scores)
+from ..session import scratch_path  # noqa: E402
+from ..sources import files  # noqa: E402
+from ..streaming import crawl as crawl_stream  # noqa: E402
+
+SAMPLE_URLS = 50          # size of the URL sample (the feature is a limit)
+SAMPLE_PER_COUNTRY = 20   # gold-standard rows per country in the tests
+
+
+@query
+def url_worklist(spark, sf):
+    return crawl.url_worklist(FX.urls(spark, sf))
+
+
+@query
+def resume_pending(spark, sf):
+    return crawl.resume_pending(crawl.url_worklist(FX.urls(spark, sf)), FX.done_urls(spark, sf))
+
+
+@query
+def sample_urls(spark, sf):
+    return crawl.sample_urls(crawl.url_worklist(FX.urls(spark, sf)), SAMPLE_URLS, FX.SAMPLE_SEED)
+
+
+@query
+def resume_append(spark, sf):
+    """Two resumable runs over landing response files: first the URLs that
+    were already done, then all; every URL is stored exactly once."""
+    resp = FX.responses(spark, sf).select("url", "status", "content_type", "final_url", "html")
+    landing, good, bad, ckpt = (scratch_path(spark, n) for n in ("landing", "good", "bad", "ckpt"))
+    done = FX.done_urls(spark, sf)
+    resp.join(done, "url", "left_semi").write.mode("append").parquet(landing)
+    crawl_stream.run_once(spark, landing, resp.schema, good, bad, ckpt)
+    resp.write.mode("append").parquet(landing)
+    crawl_stream.run_once(spark, landing, resp.schema, good, bad, ckpt)
+    return crawl_stream.stored_results(spark, good, bad)
+
+
+# ---- sources -------------------------------------------------------------------------------
+
+DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
+
+@query
+def csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "csv")
+    files.write_csv(FX.table(spark, sf, "documents"), path)
+    return files.read_csv(spark, path, DOC_SCHEMA)
+
+
+@query
+def keyword_list(spark, sf):
+    """Line lists: every document written as text lines and read back as a
+    list (stripped, blanks dropped)."""
+    path = scratch_path(spark, "lines")
+    FX.table(spark, sf, "documents").select("text").write.text(path)
+    return files.read_line_list(spark, path)
+
+
+@query
+def union_countries(spark, sf):
+    d = FX.docs(spark, sf).drop("country")
+    long_names = {"ger": "germany", "usa": "usa", "uk": "uk", "ind": "india"}
+    parts = {long_names[c]: d.filter(F.col("doc_id") % 4 == i) for i, c in enumerate(FX.COUNTRIES)}
+    out = files.union_countries(parts)
+    return files.relabel(out, coverage.COUNTRY_CODES, "country").select("doc_id", "country")
+
+
+@query
+def repair_dictionary(spark, sf):
+    m = FX.mojibake(spark, sf, "dictionary")
+    return m.select("doc_id", repair.dictionary_repair(F.col("text")).alias("text"))
+
+
+@query
+def repair_latin1(spark, sf):
+    m = FX.mojibake(spark, sf, "latin1")
+    return m.select("doc_id", repair.latin1_roundtrip(F.col("text")).alias("text"))
+
+
+# ---- language + scores ----------------------------------------------------------------------
+
+def _train_test(spark, sf):
+    d = FX.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return d.filter(F.col("doc_id") % 2 == 0), d.filter(F.col("doc_id") % 2 == 1)
+
+
+@query
+def language_profiles(spark, sf):
+    train, _ = _train_test(spark, sf)
+    return language.language_profiles(train)
+
+
+@query
+def detect_language(spark, sf):
+    train, test = _train_test(spark, sf)
+    prof = files.materialise(spark, language.language_profiles(train), "profiles")
+    langs = sorted(r[0] for r in prof.select("lang").distinct().collect())
+    return (language.detect_language(test, prof, langs)
+            .select("doc_id", "lang", "detected", "language"))
+
+
+@query
+def filter_language(spark, sf):
+    d = FX.table(spark, sf, "documents").select("doc_id", "lang")
+    lab = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v))
+                       for k, v in language.STUDY_LANGUAGES.items()], F.lit(language.OTHER))
+    return language.filter_language(d.withColumn("language", lab)).select("doc_id", "language")
+
+
+def _top(spark, sf):
+    return scores.topk_scores(FX.scores(spark, sf))
+
+
+@query
+def topk_scores(spark, sf):
+    return _top(spark, sf).select("doc_id", "rank", "token", "logprob")
+
+
+@query
+def decode_tokens(spark, sf):
+    return scores.decode_tokens(_top(spark, sf)).select("doc_id", "rank", "label", "linprob")
+
+
+@query
+def row_index(spark, sf):
+    d = FX.table(spark, sf, "documents").select("doc_id", "lang")
+    return scores.row_index(d, "lang", "doc_id", bucket_width=64)
+
+
+def wide(spark, sf):
+    return scores.scores_wide(scores.decode_tokens(_top(spark, sf)))
+
+
+@query
+def scores_wide(spark, sf):
+    return wide(spark, sf)
+
+
+# ---- classes --------------------------------------------------------------------------------
+
+def scored(spark, sf):
+    rows = corpus(spark, sf).select("doc_id", "country", "domain", "url", "text")
+    return classes.attach_scores(rows, wide(spark, sf))
+
+
+@query
+def attach_scores(spark, sf):
+    return scored(spark, sf).select("doc_id", "country", "domain", "token_1", "linprob_1")
+
+
+@query
+def domain_class_counts(spark, sf):
+    return classes.domain_class_counts(scored(spark, sf))
+
+
+def class_table(spark, sf):
+    return classes.domain_proportions(classes.domain_class_pivot(scored(spark, sf)))
+
+
+@query
+def domain_class_pivot(spark, sf):
+    return classes.domain_class_pivot(scored(spark, sf))
+
+
+@query
+def domain_proportions(spark, sf):
+    return class_table(spark, sf)
+
+
+# ---- facts ----------------------------------------------------------------------------------
+
+def sheets(spark, sf):
+    return {c: FX.facts_sheet(spark, sf, c) for c in FX.COUNTRIES}
+
+
+@query
+def union_by_name_missing(spark, sf):
+    return facts.union_sheets(sheets(spark, sf), FX.FACT_COLUMNS)
+
+
+@query
+def normalise_flags(spark, sf):
+    u = facts.union_sheets(sheets(spark, sf), FX.FACT_COLUMNS)
+    return (facts.normalise_flags(u, rules(spark, sf))
+            .select("country", "name", "url", "domain", "elite", "private", "old", "student_size_n"))
+
+
+def fact_table(spark, sf):
+    return facts.prepare_facts(sheets(spark, sf), FX.FACT_COLUMNS, rules(spark, sf))
+
+
+@query
+def median_flags(spark, sf):
+    return fact_table(spark, sf)
+
+
+@query
+def rank_tiers(spark, sf):
+    f = fact_table(spark, sf)
+    ranks = (f.select("country", "domain").distinct()
+             .withColumn("_k", F.xxhash64("domain"))
+             .withColumn("global_rank", F.when(F.abs(F.col("_k") % 3) == 0,
+                                               (F.abs(F.col("_k") % 250) + 1).cast("string"))
+                         .when(F.abs(F.col("_k") % 3) == 1,
+                               F.element_at(F.array(*[F.lit(b) for b in facts.RANK_BANDS]),
+                                            (F.abs(F.col("_k") % len(facts.RANK_BANDS)) + 1).cast("int")))
+                         .otherwise(F.lit("n/a"))).drop("_k"))
+    return facts.rank_tiers(f, ranks, facts.RANK_BANDS).select("country", "name", "domain", "global_rank", "rank")
+
+
+# ---- coverage (E3) ----------------------------------------------------------------------------
+
+@query
+def url_coverage(spark, sf):
+    errs = crawl.error_rows(routed(spark, sf))
+    els = elements(spark, sf)
+    return coverage.url_coverage(FX.urls(spark, sf), els, errs, filtered(spark, sf, els),
+                                 rules(spark, sf))
+
+
+@query
+def domain_coverage(spark, sf):
+    return coverage.domain_coverage(url_coverage(spark, sf))
+
+
+def doc_coverage(spark, sf):
+    d = FX.docs(spark, sf)
+    urls = d.select("url", "country").distinct()
+    errs = crawl.error_rows(routed(spark, sf))
+    cov = coverage.url_coverage(urls, d, errs, filtered(spark, sf), rules(spark, sf))
+    return coverage.domain_coverage(cov)
+
+
+@query
+def coverage_classes(spark, sf):
+    return coverage.coverage_classes(doc_coverage(spark, sf), class_table(spark, sf))
+
+
+def analysis(spark, sf):
+    return coverage.analysis_table(coverage.coverage_classes(doc_coverage(spark, sf), class_table(spark, sf)),
+                                   fact_table(spark, sf))
+
+
+@query
+def analysis_table(spark, sf):
+    return analysis(spark, sf)
+
+
+# ---- quality + report -----------------------------------------------------------------------------
+
+@query
+def stratified_sample(spark, sf):
+    c = corpus(spark, sf).select("doc_id", "country", "text", "domain", "url")
+    return (sampling.stratified_sample(c, "country", "doc_id", SAMPLE_PER_COUNTRY, FX.SAMPLE_SEED)
+            .withColumn("concept", F.lit("")))
+
+
+RATERS, CODERS = ["llm", "coder_a", "coder_b"], ["coder_a", "coder_b"]
+
+
+def ratings(spark, sf):
+    return agreement.ratings_table(FX.ratings(spark, sf), CODERS, RATERS)
+
+
+@query
+def ratings_table(spark, sf):
+    return ratings(spark, sf).select("doc_id", *RATERS, "url", "country")
+
+
+@query
+def rater_match_flags(spark, sf):
+    return agreement.match_flags(ratings(spark, sf), RATERS).drop("url", "country")
+
+
+@query
+def rater_agreement(spark, sf):
+    return agreement.agreement(ratings(spark, sf), RATERS)
+
+
+@query
+def pair_counts(spark, sf):
+    return agreement.pair_counts(ratings(spark, sf), RATERS)
+
+
+@query
+def country_report(spark, sf):
+    r = FX.report_input(spark, sf).withColumn("country_name", report.relabel_country(F.col("country")))
+    r = report.as_numeric(r, ["number"])
+    r = report.null_if(r, ["number"], 0.0)
+    return report.country_report(r, ["number"], ["flag"])
