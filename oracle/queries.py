@@ -196,3 +196,243 @@ oracle("keyword_review_buckets", ["v_docs"], f"""
 oracle("keyword_hits_by_domain", ["v_elements"], f"""
     SELECT country, domain, count(*) AS texts, count(DISTINCT url) AS urls
     FROM {filtered_sql('v_elements')} GROUP BY country, domain""")
+
+
+# ---- crawl bookkeeping ------------------------------------------------------------------------------
+
+from webtext.functions import repair as R  # noqa: E402
+from webtext.operators import facts as FA, report as RP, scores as SC  # noqa: E402
+from .views import WS  # noqa: E402
+
+WORKLIST = "(SELECT DISTINCT regexp_replace(url, '#.*$', '', 'g') AS url FROM v_urls)"
+oracle("url_worklist", ["v_urls"], f"SELECT url FROM {WORKLIST}")
+oracle("resume_pending", ["v_urls", "v_done"], f"SELECT url FROM {WORKLIST} w ANTI JOIN v_done USING (url)")
+oracle("sample_urls", ["v_urls"], f"""SELECT url FROM {WORKLIST}
+    ORDER BY md5('{FX.SAMPLE_SEED}|' || url), url LIMIT 50""")
+oracle("resume_append", ["v_elements", "v_routed"], """
+    SELECT regexp_replace(url, '#.*$', '', 'g') AS url, CAST(NULL AS VARCHAR) AS error,
+           count(text) AS texts FROM v_elements GROUP BY 1
+    UNION ALL
+    SELECT regexp_replace(url, '#.*$', '', 'g') AS url, error, CAST(0 AS BIGINT) AS texts
+    FROM v_routed WHERE error IS NOT NULL""")
+
+# ---- sources --------------------------------------------------------------------------------------------
+
+oracle("csv_roundtrip", [], "SELECT doc_id, text, lang, source, n_chars FROM documents")
+STRIP = f"'^{WS}+|{WS}+$'"
+oracle("keyword_list", [], f"""SELECT value FROM (
+    SELECT regexp_replace(unnest(string_split(text, chr(10))), {STRIP}, '', 'g') AS value FROM documents)
+    WHERE value <> ''""")
+oracle("union_countries", ["v_docs"], "SELECT doc_id, country FROM v_docs")
+
+
+def replace_chain(x: str, pairs) -> str:
+    for k, v in pairs:
+        x = f"replace({x}, {q(k)}, {q(v)})"
+    return x
+
+
+oracle("repair_dictionary", ["v_mojibake_dict"],
+       f"SELECT doc_id, {replace_chain('text', R.REPAIR_PAIRS)} AS text FROM v_mojibake_dict")
+oracle("repair_latin1", ["v_mojibake_latin1"], """
+    SELECT doc_id, CASE WHEN regexp_matches(original, '^[\\x{0}-\\x{7F}äöüß]*$') THEN original ELSE text END AS text
+    FROM v_mojibake_latin1""")
+
+# ---- language + scores ------------------------------------------------------------------------------------
+
+
+def padded_sql(x: str) -> str:
+    return f"(' ' || lower({collapse_ws(x)}) || ' ')"
+
+
+def grams_sql(src: str, key: str) -> str:
+    return f"""(SELECT {key}, substring(t, i, 3) AS gram, count(*) AS n
+        FROM (SELECT {key}, t, unnest(range(1, length(t) - 1)) AS i
+              FROM (SELECT {key}, {padded_sql('text')} AS t FROM {src}))
+        GROUP BY {key}, gram)"""
+
+
+PROFILE = grams_sql("(SELECT lang, text FROM documents WHERE doc_id % 2 = 0)", "lang")
+oracle("language_profiles", [], f"SELECT lang, gram, n FROM {PROFILE}")
+oracle("detect_language", [], f"""
+    WITH prof AS {PROFILE},
+    V AS (SELECT count(DISTINCT gram) AS v FROM prof),
+    T AS (SELECT lang, sum(n) AS t FROM prof GROUP BY lang),
+    test AS (SELECT doc_id, lang, text FROM documents WHERE doc_id % 2 = 1),
+    dg AS {grams_sql('test', 'doc_id')},
+    known AS (SELECT dg.* FROM dg SEMI JOIN (SELECT DISTINCT gram FROM prof) USING (gram)),
+    sc AS (SELECT k.doc_id, T.lang,
+                  sum(k.n * ln((coalesce(p.n, 0) + 1) / (T.t + V.v))) AS s
+           FROM known k CROSS JOIN T CROSS JOIN V
+           LEFT JOIN prof p ON p.gram = k.gram AND p.lang = T.lang
+           GROUP BY k.doc_id, T.lang),
+    best AS (SELECT doc_id, lang AS detected FROM (
+             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang DESC) AS r FROM sc)
+             WHERE r = 1)
+    SELECT test.doc_id, test.lang, best.detected,
+           CASE WHEN test.text IS NULL OR {collapse_ws('test.text')} = '' THEN 'Other'
+                WHEN best.detected IS NULL THEN 'Error'
+                WHEN best.detected = 'en' THEN 'eng' WHEN best.detected = 'de' THEN 'ger'
+                ELSE 'Other' END AS language
+    FROM test LEFT JOIN best USING (doc_id)""")
+oracle("filter_language", [], """SELECT doc_id, language FROM (
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'ger' ELSE 'Other' END AS language
+    FROM documents) WHERE language IN ('eng', 'ger')""")
+TOP = """(SELECT doc_id, token, logprob, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY logprob DESC, token) AS rank FROM v_scores)
+    WHERE rank <= 3)"""
+LABEL = "CASE " + " ".join(f"WHEN token = '{k}' THEN {q(v)}" for k, v in SC.CONCEPT_LABELS.items()) + " END"
+DECODED = f"(SELECT doc_id, rank, {LABEL} AS label, round(exp(logprob) * 100, 2) AS linprob FROM {TOP})"
+oracle("topk_scores", ["v_scores"], f"SELECT doc_id, rank, token, logprob FROM {TOP}")
+oracle("decode_tokens", ["v_scores"], f"SELECT * FROM {DECODED}")
+oracle("row_index", [], """SELECT doc_id, lang,
+    CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS "index" FROM documents""")
+WIDE = "(SELECT doc_id, " + ", ".join(
+    f"max(CASE WHEN rank = {r} THEN label END) AS token_{r}, max(CASE WHEN rank = {r} THEN linprob END) AS linprob_{r}"
+    for r in (1, 2, 3)) + f" FROM {DECODED} GROUP BY doc_id)"
+oracle("scores_wide", ["v_scores"], f"SELECT * FROM {WIDE}")
+
+# ---- classes ----------------------------------------------------------------------------------------------------
+
+SCORED = f"""(SELECT c.doc_id, c.country, c.domain, c.url, c.text,
+    CASE WHEN w.linprob_1 <= 50 THEN NULL ELSE w.token_1 END AS token_1, w.linprob_1,
+    w.token_2, w.linprob_2, w.token_3, w.linprob_3
+    FROM {corpus_sql('v_docs')} c LEFT JOIN {WIDE} w USING (doc_id))"""
+oracle("attach_scores", ["v_docs", "v_scores"], f"SELECT doc_id, country, domain, token_1, linprob_1 FROM {SCORED}")
+oracle("domain_class_counts", ["v_docs", "v_scores"], f"""SELECT country, domain, token_1, count(*) AS len
+    FROM {SCORED} WHERE token_1 IS NOT NULL GROUP BY ALL""")
+LABS = list(SC.CONCEPT_LABELS.values())
+PIVOT = ("(SELECT country, domain, " + ", ".join(
+    f'CAST(count_if(token_1 = {q(v)}) AS BIGINT) AS "{v}"' for v in LABS)
+    + f" FROM {SCORED} WHERE token_1 IS NOT NULL GROUP BY country, domain)")
+I_, C_, N_ = (f'"{v}"' for v in LABS)
+PROPS = f"""(SELECT *, CAST({N_} + {C_} + {I_} AS BIGINT) AS total, CAST({C_} + {I_} AS BIGINT) AS total_ind_coll,
+    CASE WHEN {C_} + {I_} <= 1 THEN NULL
+         WHEN {I_} = 0 AND {C_} = 0 THEN 0.0 WHEN {I_} = 0 OR {C_} = 0 THEN 1.0
+         ELSE round({I_} / ({I_} + {C_}), 6) END AS ind_coll_prop FROM {PIVOT})"""
+oracle("domain_class_pivot", ["v_docs", "v_scores"], f"SELECT * FROM {PIVOT}")
+oracle("domain_proportions", ["v_docs", "v_scores"], f"SELECT * FROM {PROPS}")
+
+# ---- facts ------------------------------------------------------------------------------------------------------------
+
+UNION_FACTS = "(" + " UNION ALL BY NAME ".join(
+    f"(SELECT *, '{c}' AS country FROM v_facts_{c})" for c in FX.COUNTRIES) + ")"
+FACT_VIEWS = [f"v_facts_{c}" for c in FX.COUNTRIES]
+oracle("union_by_name_missing", FACT_VIEWS, f"SELECT * FROM {UNION_FACTS}")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {STRIP}, '', 'g')"
+
+
+def inlist(vals) -> str:
+    return "(" + ", ".join(q(v) for v in vals) + ")"
+
+
+FLAGS = with_domain_sql(f"""(SELECT country, name, url, international_per,
+    lower({strip_sql("coalesce(CAST(elite AS VARCHAR), 'None')")}) IN {inlist(FA.ELITE_TRUE)} AS elite,
+    lower({strip_sql('CAST(type AS VARCHAR)')}) IN {inlist(FA.PRIVATE_TRUE)} AS private,
+    founding_year < {FA.OLD_BEFORE} AS old,
+    CAST(student_size_n AS BIGINT) AS student_size_n FROM {UNION_FACTS})""", "url", "domain")
+oracle("normalise_flags", FACT_VIEWS,
+       f"SELECT country, name, url, domain, elite, private, old, student_size_n FROM {FLAGS}")
+FACTS = f"""(SELECT f.country, name, url, domain, elite, private, old, student_size_n, international_per,
+    student_size_n > m_size AS student_size_above_50, international_per > m_int AS international_per_above_50
+    FROM {FLAGS} f LEFT JOIN (SELECT country, median(international_per) AS m_int,
+                                     median(student_size_n) AS m_size FROM {FLAGS} GROUP BY country) m
+    ON f.country = m.country)"""
+oracle("median_flags", FACT_VIEWS, f"SELECT * FROM {FACTS}")
+BANDS = "[" + ", ".join(q(b) for b in FA.RANK_BANDS) + "]"
+oracle("rank_tiers", FACT_VIEWS, f"""
+    WITH f AS {FACTS},
+    r AS (SELECT country, domain, CASE WHEN n % 3 = 0 THEN CAST(n * 10 + 5 AS VARCHAR)
+                                       WHEN n % 3 = 1 THEN {BANDS}[n % 6 + 1] ELSE 'n/a' END AS global_rank
+          FROM (SELECT DISTINCT country, domain,
+                       TRY_CAST(regexp_extract(domain, '[0-9]+', 0) AS INTEGER) AS n FROM f))
+    SELECT f.country, name, f.domain, global_rank,
+           CASE WHEN TRY_CAST(global_rank AS INTEGER) <= 100 THEN 'competitors'
+                WHEN TRY_CAST(global_rank AS INTEGER) BETWEEN 101 AND 200 THEN 'competitors'
+                WHEN global_rank IN {inlist(FA.RANK_BANDS)} THEN 'aspirants'
+                ELSE 'non competitors' END AS rank
+    FROM f LEFT JOIN r ON f.country = r.country AND f.domain = r.domain""")
+
+# ---- coverage (E3) -------------------------------------------------------------------------------------------------------
+
+
+def url_cov_sql(urls: str, elements: str, filtered: str) -> str:
+    return f"""(WITH u AS {with_domain_sql(urls, 'url', 'domain')},
+      s AS (SELECT url, count(text) AS texts_all FROM {elements} GROUP BY url),
+      e AS (SELECT url FROM v_routed WHERE error IS NOT NULL),
+      k AS (SELECT country, domain, url, count(text) AS texts_filtered FROM {filtered}
+            WHERE country IS NOT NULL AND domain IS NOT NULL AND url IS NOT NULL GROUP BY ALL)
+      SELECT u.url, CASE u.country WHEN 'germany' THEN 'ger' WHEN 'india' THEN 'ind' ELSE u.country END AS country,
+             u.domain, s.texts_all, e.url IS NOT NULL AS error, k.texts_filtered
+      FROM u LEFT JOIN s ON u.url = s.url LEFT JOIN e ON u.url = e.url
+      LEFT JOIN k ON k.country = (CASE u.country WHEN 'germany' THEN 'ger' WHEN 'india' THEN 'ind' ELSE u.country END)
+                 AND k.domain = u.domain AND k.url = u.url)"""
+
+
+def dom_cov_sql(url_cov: str) -> str:
+    return f"""(SELECT country, domain, count(DISTINCT url) AS urls_all_count,
+        count(texts_filtered) AS urls_filtered_count,
+        CAST(coalesce(sum(texts_all), 0) AS BIGINT) AS texts_all_total,
+        round(avg(texts_all), 6) AS texts_all_mean_per_url,
+        CAST(coalesce(sum(texts_filtered), 0) AS BIGINT) AS texts_filtered_total,
+        round(avg(texts_filtered), 6) AS texts_filtered_mean_per_url
+        FROM {url_cov} GROUP BY country, domain)"""
+
+
+URL_COV = url_cov_sql("(SELECT url, country FROM v_urls)", "v_elements", filtered_sql("v_elements"))
+oracle("url_coverage", ["v_urls", "v_elements", "v_routed"], f"SELECT * FROM {URL_COV}")
+oracle("domain_coverage", ["v_urls", "v_elements", "v_routed"], f"SELECT * FROM {dom_cov_sql(URL_COV)}")
+DOC_COV = dom_cov_sql(url_cov_sql("(SELECT DISTINCT url, country FROM v_docs)", "v_docs", filtered_sql("v_docs")))
+COV_CLASSES = f"(SELECT * FROM {DOC_COV} d LEFT JOIN {PROPS} p USING (country, domain))"
+oracle("coverage_classes", ["v_docs", "v_scores", "v_routed"], f"SELECT * FROM {COV_CLASSES}")
+oracle("analysis_table", ["v_docs", "v_scores", "v_routed"] + FACT_VIEWS,
+       f"SELECT * FROM {COV_CLASSES} c JOIN {FACTS} f USING (country, domain) WHERE name IS NOT NULL")
+
+# ---- quality + report ------------------------------------------------------------------------------------------------------
+
+oracle("stratified_sample", ["v_docs"], f"""SELECT doc_id, country, text, domain, url, '' AS concept FROM (
+    SELECT *, row_number() OVER (PARTITION BY country
+        ORDER BY md5('{FX.SAMPLE_SEED}|' || CAST(doc_id AS VARCHAR)), doc_id) AS rn
+    FROM {corpus_sql('v_docs')}) WHERE rn <= 20""")
+
+
+def code_label(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {x} = {k} THEN {q(v)}" for k, v in SC.CONCEPT_LABELS.items()) + " END"
+
+
+RATINGS = f"""(SELECT doc_id, {code_label('llm')} AS llm,
+    {code_label('CASE WHEN coder_a = 4 THEN 3 ELSE coder_a END')} AS coder_a,
+    {code_label('CASE WHEN coder_b = 4 THEN 3 ELSE coder_b END')} AS coder_b, url, country FROM v_ratings)"""
+PAIRS = [("llm", "coder_a"), ("llm", "coder_b"), ("coder_a", "coder_b")]
+oracle("ratings_table", ["v_ratings"], f"SELECT * FROM {RATINGS}")
+oracle("rater_match_flags", ["v_ratings"], "SELECT doc_id, llm, coder_a, coder_b, " + ", ".join(
+    f"{a} = {b} AS match_{a}_{b}" for a, b in PAIRS) + f" FROM {RATINGS}")
+oracle("rater_agreement", ["v_ratings"], " UNION ALL ".join(f"""
+    SELECT '{a}' AS rater_1, '{b}' AS rater_2, n_both, n_match,
+           CASE WHEN n_both = 0 THEN 0.0 ELSE round(CAST(n_match AS DOUBLE) * 100 / n_both, 6) END AS match_pct
+    FROM (SELECT CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n_both,
+                 CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL AND {a} = {b}) AS BIGINT) AS n_match
+          FROM {RATINGS})""" for a, b in PAIRS))
+oracle("pair_counts", ["v_ratings"], " UNION ALL ".join(f"""
+    SELECT '{a}' AS rater_1, '{b}' AS rater_2, {a} AS value_1, {b} AS value_2, count(*) AS "count"
+    FROM {RATINGS} WHERE llm IS NOT NULL AND coder_a IS NOT NULL AND coder_b IS NOT NULL
+    GROUP BY {a}, {b}""" for a, b in PAIRS))
+
+_CN = "CASE " + " ".join(f"WHEN country = {q(k)} THEN {q(v)}" for k, v in RP.COUNTRY_NAMES.items()) + " ELSE country END"
+oracle("country_report", ["v_report"], f"""
+    WITH r AS (SELECT {_CN} AS country_name, nullif(CAST(number AS DOUBLE), 0.0) AS number, flag FROM v_report),
+    g AS (SELECT CASE WHEN grouping(country_name) = 1 THEN 'Total' ELSE country_name END AS country_name,
+            CAST(count_if(number IS NULL) AS DOUBLE) AS "number|Nmiss", avg(number) AS "number|mean",
+            stddev_samp(number) AS "number|sd", median(number) AS "number|median",
+            min(number) AS "number|min", max(number) AS "number|max",
+            CAST(count_if(flag) AS DOUBLE) AS "flag|count_true",
+            CAST(count_if(flag) AS DOUBLE) * 100 / count(flag) AS "flag|pct_true",
+            CAST(count_if(flag IS NULL) AS DOUBLE) AS "flag|Nmiss"
+          FROM r GROUP BY ROLLUP (country_name))
+    SELECT country_name, split_part(k, '|', 1) AS variable, split_part(k, '|', 2) AS statistic,
+           round(value, 6) AS value
+    FROM g UNPIVOT INCLUDE NULLS (value FOR k IN ("number|Nmiss", "number|mean", "number|sd",
+        "number|median", "number|min", "number|max", "flag|count_true", "flag|pct_true", "flag|Nmiss"))""")

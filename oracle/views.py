@@ -210,4 +210,7 @@ def with_views(names: list[str], body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:4].upper() == "WITH":      # merge the body's own CTEs
+        return f"WITH {ctes},\n{stripped[4:]}"
     return f"WITH {ctes}\n{body}"

@@ -91,4 +91,4 @@ def corpus_summary(df: DataFrame) -> DataFrame:
                    n_unique("url").alias("num_unique_urls"),
                    n_unique("domain").alias("num_unique_domains"))
             .withColumn("mean_rows_per_url",
-                        F.round(F.col("num_rows") / F.col("num_unique_urls"), 2)))
+                        F.round(F.try_divide(F.col("num_rows"), F.col("num_unique_urls")), 2)))

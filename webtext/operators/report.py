@@ -42,7 +42,7 @@ def country_report(df: DataFrame, numeric: list[str], flags: list[str],
     for c in flags:
         x = F.col(c)
         aggs += [F.count_if(x).cast("double").alias(f"{c}|count_true"),
-                 (F.count_if(x) * 100.0 / F.count(x)).alias(f"{c}|pct_true"),
+                 F.try_divide(F.count_if(x) * 100.0, F.count(x)).alias(f"{c}|pct_true"),
                  F.count_if(x.isNull()).cast("double").alias(f"{c}|Nmiss")]
     g = (df.rollup(by).agg(*aggs, F.grouping(by).alias("_total"))
          .withColumn(by, F.when(F.col("_total") == 1, F.lit(TOTAL)).otherwise(F.col(by)))

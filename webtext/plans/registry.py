@@ -346,7 +346,8 @@ def domain_class_counts(spark, sf):
 
 
 def class_table(spark, sf):
-    return classes.domain_proportions(classes.domain_class_pivot(scored(spark, sf)))
+    props = classes.domain_proportions(classes.domain_class_pivot(scored(spark, sf)))
+    return props.withColumn("ind_coll_prop", F.round("ind_coll_prop", 6))
 
 
 @query
@@ -388,20 +389,27 @@ def median_flags(spark, sf):
 
 @query
 def rank_tiers(spark, sf):
+    """Optional tiers; the rank text is derived from the number in the domain."""
     f = fact_table(spark, sf)
+    n = F.col("_n")
+    bands = F.array(*[F.lit(b) for b in facts.RANK_BANDS])
     ranks = (f.select("country", "domain").distinct()
-             .withColumn("_k", F.xxhash64("domain"))
-             .withColumn("global_rank", F.when(F.abs(F.col("_k") % 3) == 0,
-                                               (F.abs(F.col("_k") % 250) + 1).cast("string"))
-                         .when(F.abs(F.col("_k") % 3) == 1,
-                               F.element_at(F.array(*[F.lit(b) for b in facts.RANK_BANDS]),
-                                            (F.abs(F.col("_k") % len(facts.RANK_BANDS)) + 1).cast("int")))
-                         .otherwise(F.lit("n/a"))).drop("_k"))
+             .withColumn("_n", F.regexp_extract("domain", "[0-9]+", 0).try_cast("int"))
+             .withColumn("global_rank", F.when(n % 3 == 0, (n * 10 + 5).cast("string"))
+                         .when(n % 3 == 1, F.element_at(bands, n % 6 + 1))
+                         .otherwise(F.lit("n/a"))).drop("_n"))
     return facts.rank_tiers(f, ranks, facts.RANK_BANDS).select("country", "name", "domain", "global_rank", "rank")
 
 
 # ---- coverage (E3) ----------------------------------------------------------------------------
 
+def rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    """Round floating results for comparison with the SQL oracle."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+MEANS = ["texts_all_mean_per_url", "texts_filtered_mean_per_url"]
+
 @query
 def url_coverage(spark, sf):
     errs = crawl.error_rows(routed(spark, sf))
@@ -412,7 +420,7 @@ def url_coverage(spark, sf):
 
 @query
 def domain_coverage(spark, sf):
-    return coverage.domain_coverage(url_coverage(spark, sf))
+    return rounded(coverage.domain_coverage(url_coverage(spark, sf)), MEANS)
 
 
 def doc_coverage(spark, sf):
@@ -420,7 +428,7 @@ def doc_coverage(spark, sf):
     urls = d.select("url", "country").distinct()
     errs = crawl.error_rows(routed(spark, sf))
     cov = coverage.url_coverage(urls, d, errs, filtered(spark, sf), rules(spark, sf))
-    return coverage.domain_coverage(cov)
+    return rounded(coverage.domain_coverage(cov), MEANS)
 
 
 @query
@@ -466,7 +474,8 @@ def rater_match_flags(spark, sf):
 
 @query
 def rater_agreement(spark, sf):
-    return agreement.agreement(ratings(spark, sf), RATERS)
+    out = agreement.agreement(ratings(spark, sf), RATERS)
+    return out.withColumn("match_pct", F.round("match_pct", 6))
 
 
 @query

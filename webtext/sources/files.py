@@ -12,7 +12,9 @@ from pyspark.sql.types import StructType
 from ..functions.text import strip_ws
 from ..session import scratch_path
 
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+               # keep surrounding whitespace of values (the writer trims by default)
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
