@@ -6,10 +6,11 @@ suffix, ``ck`` is).  The longest matching rule wins; an exception beats all.
 The result is ``<label before the suffix>.<suffix>``; a host with no matching
 rule gives ``<last label>.`` and a host equal to a suffix gives ``.<suffix>``.
 
-Work is done once per *distinct host*: hosts are few compared to rows, the
-``distinct`` aggregates map-side, and the candidate suffixes of a host are a
-handful of rows.  The rule table is joined by equality (broadcast only when
-its size is checked to be small).
+With a rule table of checked size (a public suffix list has ~10k rules) the
+lookup is row-local: one broadcast equi-join per suffix depth, so rows are
+never shuffled or regrouped.  Only an oversized rule table falls back to
+resolving each distinct host once (``distinct`` aggregates map-side) and
+joining the result back by host.
 """
 
 from __future__ import annotations
@@ -87,12 +88,66 @@ def host_domains(hosts: DataFrame, rules: DataFrame, host_col: str = "host") ->
             .select(host_col, F.coalesce("domain", F.concat(last, F.lit("."))).alias("domain")))
 
 
+def _suffix(labels, k):
+    """The last ``k`` labels joined (null when the host has fewer labels)."""
+    return F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), "."))
+
+
+def _lookup_by_depth(df: DataFrame, prepared: DataFrame, labels: str, depth: int) -> DataFrame:
+    """Row-local rule lookup: one broadcast equi-join per suffix depth.
+
+    For depth k the host's last k labels are looked up among exact/exception
+    rule keys, and its last k-1 labels among wildcard keys.  Every join is a
+    broadcast hash join, so rows are never shuffled or regrouped."""
+    exact = prepared.filter("kind IN (0, 2)")
+    wild = prepared.filter("kind = 1")
+    lab = F.col(labels)
+    out = df
+    best = F.lit(None).cast("int")           # labels in the winning suffix
+    exception = F.lit(None).cast("int")      # suffix length from an exception rule
+    for k in range(1, depth + 2):
+        ek, wk = f"_e{k}", f"_w{k}"
+        e = F.broadcast(exact.select(F.col("key").alias(f"_ek{k}"), F.col("kind").alias(ek)))
+        out = out.join(e, _suffix(lab, k) == F.col(f"_ek{k}"), "left").drop(f"_ek{k}")
+        if k >= 2:
+            w = F.broadcast(wild.select(F.col("key").alias(f"_wk{k}"), F.lit(True).alias(wk)))
+            out = out.join(w, _suffix(lab, k - 1) == F.col(f"_wk{k}"), "left").drop(f"_wk{k}")
+            hit = F.col(ek).isin(0) | F.col(wk).isNotNull()
+        else:
+            hit = F.col(ek).isin(0)
+        best = F.when(hit, F.lit(k)).otherwise(best)
+        exception = F.when(F.col(ek) == 2, F.lit(k - 1)).otherwise(exception)
+    cols = [c for c in out.columns if c.startswith("_e") or c.startswith("_w")]
+    return out.withColumn("_sfx", F.coalesce(exception, best)).drop(*cols)
+
+
+def _domain_from_suffix(labels, sfx):
+    n = F.size(labels)
+    return (F.when(sfx.isNull(), F.concat(F.element_at(labels, -1), F.lit(".")))
+            .when(sfx >= n, F.concat(F.lit("."), F.array_join(labels, ".")))
+            .otherwise(F.concat(F.element_at(labels, -(sfx + 1)), F.lit("."),
+                                F.array_join(F.slice(labels, -sfx, sfx), "."))))
+
+
 def registered_domain(df: DataFrame, rules: DataFrame, url_col: str = "url",
                       out_col: str = "domain", redirect_col: str | None = None) -> DataFrame:
     """Add ``out_col``: registrable domain of ``redirect_col`` when present,
-    else of ``url_col``.  Null when the URL has no host."""
+    else of ``url_col``.  Null when the URL has no host.
+
+    With a rule table of checked size (a public suffix list has ~10k rules)
+    the lookup is row-local (broadcast joins per suffix depth, no shuffle);
+    a larger rule table falls back to resolving each distinct host once and
+    joining the result back by host."""
     src = F.col(url_col) if redirect_col is None else F.coalesce(F.col(redirect_col), F.col(url_col))
     with_host = df.withColumn("_host", host_of(src))
+    prepared = prepare_rules(rules)
+    # one small job: size of the rule table and its deepest rule
+    n_rules, depth = prepared.agg(F.count(F.lit(1)), F.max(F.size(F.split("key", r"\.")))).first()
+    if n_rules <= MAX_BROADCAST_RULES:
+        labeled = with_host.withColumn("_labels", F.split("_host", r"\."))
+        looked = _lookup_by_depth(labeled, prepared, "_labels", depth or 0)
+        dom = F.when(F.col("_host").isNotNull(), _domain_from_suffix(F.col("_labels"), F.col("_sfx")))
+        return looked.withColumn(out_col, dom).drop("_host", "_labels", "_sfx")
     hosts = with_host.select(F.col("_host").alias("host")).filter("host IS NOT NULL").distinct()
     mapping = host_domains(hosts, rules).withColumnRenamed("host", "_host")
     return (with_host.join(mapping, "_host", "left")

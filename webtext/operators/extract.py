@@ -39,7 +39,11 @@ def collapse_page_headings(pages: DataFrame, col: str = "elements") -> DataFrame
 def explode_elements(pages: DataFrame, col: str = "elements") -> DataFrame:
     """One row per element: page columns + pos, tag, text, text_length."""
     keep = [c for c in pages.columns if c != col]
-    return (pages.select(*keep, F.explode(col).alias("_e"))
+    # explode_outer + null filter: a plain explode makes the optimizer infer a
+    # ``size(elements) > 0`` predicate and push it (with the whole extraction
+    # inlined) below the projections, which would run the extraction twice.
+    return (pages.select(*keep, F.explode_outer(col).alias("_e"))
+            .filter(F.col("_e").isNotNull())
             .select(*keep, F.col("_e.pos").alias("pos"), F.col("_e.tag").alias("tag"),
                     F.col("_e.text").alias("text"),
                     F.length("_e.text").alias("text_length")))

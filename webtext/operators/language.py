@@ -35,7 +35,10 @@ def trigram_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> Da
     # every overlapping trigram in one linear regex pass: a zero-width match at
     # each position captures the three characters that follow it
     grams = F.regexp_extract_all(padded(F.col(text_col)), F.lit(r"(?s)(?=(.{3}))"), 1)
-    return (df.select(*keys, F.explode(grams).alias("gram"))
+    # explode_outer + null filter keeps the optimizer from inferring (and
+    # pushing down) a size() > 0 predicate that would extract the trigrams twice
+    return (df.select(*keys, F.explode_outer(grams).alias("gram"))
+            .filter(F.col("gram").isNotNull())
             .groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n")))
 
 

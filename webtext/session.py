@@ -62,4 +62,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A driver table; spread over the cores when it arrives in fewer
+    partitions than there are cores (one row group).  On real input split in
+    many files this is a no-op."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    want = spark.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
