@@ -24,9 +24,9 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int = PER_STRATU
     out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
     if strict:
         sizes = out.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+        short = F.concat(F.lit("stratum smaller than sample size: "), F.col(stratum).cast("string"))
+        # a filter (not a dropped column) so the check cannot be pruned away
         out = (out.join(sizes, stratum)
-               .withColumn("_n", F.when(F.col("_n") < n, F.raise_error(
-                   F.concat(F.lit("stratum smaller than sample size: "), F.col(stratum).cast("string"))))
-                   .otherwise(F.col("_n")))
+               .filter(F.when(F.col("_n") < n, F.raise_error(short)).otherwise(F.lit(True)))
                .drop("_n"))
     return out
