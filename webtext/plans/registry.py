@@ -138,17 +138,24 @@ def corpus_summary(spark, sf):
 
 # ---- keyword filter (E2) -------------------------------------------------------------
 
-def hits(spark, sf, source=None):
+def hits(spark, sf, source=None, corp=None):
     strict, compound = FX.keyword_lists()
-    return keywords.keyword_hits(corpus(spark, sf, source), strict, compound)
+    c = corpus(spark, sf, source) if corp is None else corp
+    return keywords.keyword_hits(c, strict, compound)
 
 
-def merged(spark, sf, source=None):
-    return keywords.heading_merge(hits(spark, sf, source))
+def merged(spark, sf, source=None, corp=None):
+    return keywords.heading_merge(hits(spark, sf, source, corp))
 
 
-def filtered(spark, sf, source=None):
-    return keywords.keyword_filter(merged(spark, sf, source))
+def filtered(spark, sf, source=None, corp=None):
+    return keywords.keyword_filter(merged(spark, sf, source, corp))
+
+
+def corpus_table(spark, sf, source=None):
+    """The clean corpus written once to the shared folder: reused by the
+    keyword filter, the class counts and the coverage of one analysis."""
+    return files.materialise(spark, corpus(spark, sf, source), "corpus")
 
 
 @query
@@ -330,8 +337,8 @@ def scores_wide(spark, sf):
 
 # ---- classes --------------------------------------------------------------------------------
 
-def scored(spark, sf):
-    rows = corpus(spark, sf).select("doc_id", "country", "domain", "url", "text")
+def scored(spark, sf, corp=None):
+    rows = (corpus(spark, sf) if corp is None else corp).select("doc_id", "country", "domain", "url", "text")
     return classes.attach_scores(rows, wide(spark, sf))
 
 
@@ -345,8 +352,8 @@ def domain_class_counts(spark, sf):
     return classes.domain_class_counts(scored(spark, sf))
 
 
-def class_table(spark, sf):
-    props = classes.domain_proportions(classes.domain_class_pivot(scored(spark, sf)))
+def class_table(spark, sf, corp=None):
+    props = classes.domain_proportions(classes.domain_class_pivot(scored(spark, sf, corp)))
     return props.withColumn("ind_coll_prop", F.round("ind_coll_prop", 6))
 
 
@@ -413,7 +420,7 @@ MEANS = ["texts_all_mean_per_url", "texts_filtered_mean_per_url"]
 @query
 def url_coverage(spark, sf):
     errs = crawl.error_rows(routed(spark, sf))
-    els = elements(spark, sf)
+    els = files.materialise(spark, elements(spark, sf), "elements")
     return coverage.url_coverage(FX.urls(spark, sf), els, errs, filtered(spark, sf, els),
                                  rules(spark, sf))
 
@@ -423,22 +430,25 @@ def domain_coverage(spark, sf):
     return rounded(coverage.domain_coverage(url_coverage(spark, sf)), MEANS)
 
 
-def doc_coverage(spark, sf):
+def doc_coverage(spark, sf, corp=None):
     d = FX.docs(spark, sf)
     urls = d.select("url", "country").distinct()
     errs = crawl.error_rows(routed(spark, sf))
-    cov = coverage.url_coverage(urls, d, errs, filtered(spark, sf), rules(spark, sf))
+    cov = coverage.url_coverage(urls, d, errs, filtered(spark, sf, corp=corp), rules(spark, sf))
     return rounded(coverage.domain_coverage(cov), MEANS)
 
 
 @query
 def coverage_classes(spark, sf):
-    return coverage.coverage_classes(doc_coverage(spark, sf), class_table(spark, sf))
+    corp = corpus(spark, sf)
+    return coverage.coverage_classes(doc_coverage(spark, sf, corp), class_table(spark, sf, corp))
 
 
 def analysis(spark, sf):
-    return coverage.analysis_table(coverage.coverage_classes(doc_coverage(spark, sf), class_table(spark, sf)),
-                                   fact_table(spark, sf))
+    corp = corpus(spark, sf)
+    return coverage.analysis_table(
+        coverage.coverage_classes(doc_coverage(spark, sf, corp), class_table(spark, sf, corp)),
+        fact_table(spark, sf))
 
 
 @query
