@@ -209,12 +209,17 @@ oracle("url_worklist", ["v_urls"], f"SELECT url FROM {WORKLIST}")
 oracle("resume_pending", ["v_urls", "v_done"], f"SELECT url FROM {WORKLIST} w ANTI JOIN v_done USING (url)")
 oracle("sample_urls", ["v_urls"], f"""SELECT url FROM {WORKLIST}
     ORDER BY md5('{FX.SAMPLE_SEED}|' || url), url LIMIT 50""")
-oracle("resume_append", ["v_elements", "v_routed"], """
-    SELECT regexp_replace(url, '#.*$', '', 'g') AS url, CAST(NULL AS VARCHAR) AS error,
-           count(text) AS texts FROM v_elements GROUP BY 1
+# run 1 holds the done pages, run 2 all pages; per fragment-free URL the first
+# run that sees it stores the page with the smallest original URL
+oracle("resume_append", ["v_elements", "v_routed", "v_done"], """
+    WITH r AS (SELECT *, regexp_replace(url, '#.*$', '', 'g') AS surl,
+                      url IN (SELECT url FROM v_done) AS run1 FROM v_routed),
+    pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY surl ORDER BY run1 DESC, url) AS rn
+                            FROM r) WHERE rn = 1)
+    SELECT p.surl AS url, CAST(NULL AS VARCHAR) AS error, count(e.text) AS texts
+    FROM pick p JOIN v_elements e ON e.page_id = p.page_id WHERE p.error IS NULL GROUP BY p.surl
     UNION ALL
-    SELECT regexp_replace(url, '#.*$', '', 'g') AS url, error, CAST(0 AS BIGINT) AS texts
-    FROM v_routed WHERE error IS NOT NULL""")
+    SELECT surl AS url, error, CAST(0 AS BIGINT) AS texts FROM pick WHERE error IS NOT NULL""")
 
 # ---- sources --------------------------------------------------------------------------------------------
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators import crawl, extract
+from ..operators.clean import first_row_per_key
 
 ELEMENT_COLS = ["url", "url_redirect", "pos", "tag", "text", "text_length"]
 
@@ -33,7 +34,10 @@ def _stored_urls(spark: SparkSession, *paths: str) -> DataFrame | None:
 def route_batch(batch: DataFrame, good_path: str, bad_path: str) -> None:
     """Route one batch of responses and append its new results."""
     spark = batch.sparkSession
-    todo = batch.withColumn("url", F.regexp_replace("url", "#.*$", "")).dropDuplicates(["url"])
+    # one response per fragment-free URL; the smallest original URL wins, so a
+    # batch is processed the same way however it is partitioned
+    stripped = batch.withColumn("_orig", F.col("url")).withColumn("url", F.regexp_replace("url", "#.*$", ""))
+    todo = first_row_per_key(stripped, ["url"], ["_orig"]).drop("_orig")
     seen = _stored_urls(spark, good_path, bad_path)
     if seen is not None:
         todo = todo.join(seen.distinct(), "url", "left_anti")
