@@ -164,7 +164,7 @@ def _with_following(docs: DataFrame) -> DataFrame:
     row after a document is its following document."""
     spark = docs.sparkSession
     n = 4 * partitions(spark)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or [0]
     splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
     last = len(splits) - 1    # the block of documents without an id
     bucketed = Bucketizer(splits=splits, inputCol="__id", outputCol="__b", handleInvalid="keep")

@@ -206,7 +206,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     drops = lines_to_drop(plain(docs)).withColumnsRenamed({"id": "__id", "drop": "__drop"})
     joined = docs.withColumn("__key", id_key()).join(drops.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left") \
         .select(*[F.col(f"`{c}`") for c in docs.columns], "__drop")
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +218,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
                 texts.append(text)
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" not in docs.columns:
