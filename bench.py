@@ -38,7 +38,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
+                          extra={"spark.webtext.spreadInput": "true"})
     times: dict[str, float] = {}
     for name in names:
         fn = QUERIES[name]

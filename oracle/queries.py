@@ -31,11 +31,11 @@ oracle("route_responses", ["v_routed"], "SELECT page_id, url, country, url_redir
 from webtext.plans import fixtures as FX  # noqa: E402
 from .views import q, collapse_ws  # noqa: E402
 
-HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST_RE = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*://|//)?(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:\s]*)(?:[/?#:]|\s*$)"
 
 
 def host_sql(u: str) -> str:
-    return f"nullif(lower(regexp_extract({u}, {q(HOST_RE)}, 1)), '')"
+    return f"nullif(lower(regexp_replace(regexp_extract({u}, {q(HOST_RE)}, 1), '[.]+$', '')), '')"
 
 
 def rules_sql() -> str:
@@ -95,7 +95,8 @@ def words_sql(src: str) -> str:
 
 
 def order_sql(src: str) -> str:
-    return f"""(SELECT *, CAST(row_number() OVER (PARTITION BY url ORDER BY country, pos) + 1 AS BIGINT) AS "order"
+    return f"""(SELECT *, CAST(row_number() OVER (PARTITION BY url ORDER BY country, pos,
+            url_redirect NULLS FIRST, tag NULLS FIRST, text NULLS FIRST) + 1 AS BIGINT) AS "order"
         FROM {src})"""
 
 
@@ -206,7 +207,7 @@ from .views import WS  # noqa: E402
 
 WORKLIST = "(SELECT DISTINCT regexp_replace(url, '#.*$', '', 'g') AS url FROM v_urls)"
 oracle("url_worklist", ["v_urls"], f"SELECT url FROM {WORKLIST}")
-oracle("resume_pending", ["v_urls", "v_done"], f"SELECT url FROM {WORKLIST} w ANTI JOIN v_done USING (url)")
+oracle("resume_pending", ["v_urls", "v_done"], f"SELECT url FROM {WORKLIST} w ANTI JOIN (SELECT regexp_replace(url, '#.*$', '', 'g') AS url FROM v_done) USING (url)")
 oracle("sample_urls", ["v_urls"], f"""SELECT url FROM {WORKLIST}
     ORDER BY md5('{FX.SAMPLE_SEED}|' || url), url LIMIT 50""")
 # run 1 holds the done pages, run 2 all pages; per fragment-free URL the first

@@ -22,8 +22,19 @@ def collapse_ws(x: str) -> str:
     return f"trim(regexp_replace({x}, {q(WS + '+')}, ' ', 'g'))"
 
 
+# The references that occur in the driver's pages; ``&amp;`` goes last so that an
+# escaped entity is not decoded twice.
+ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+    ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
+    ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"),
+    ("&euro;", "€"), ("&amp;", "&"),
+]
+
+
 def decode_entities(x: str) -> str:
-    for k, v in H.ENTITIES:
+    for k, v in ENTITIES:
         x = f"replace({x}, {q(k)}, {q(v)})"
     return x
 

@@ -14,7 +14,7 @@ in document order, without a Python UDF and without a shuffle:
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,16 +38,6 @@ BLOCK_TAGS = [
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 ]
 
-# Named entities decoded in extracted text; ``&amp;`` goes last so that an
-# escaped entity is not decoded twice.
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&euro;", "€"), ("&amp;", "&"),
-]
-
 START, SEP, STOP = "\u0001", "\u0002", "\u0003"
 
 DROP_PATTERN = (r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>"
@@ -58,8 +48,30 @@ BLOCK_PATTERN = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?/?>"
 TAG_PATTERN = r"<[^>]*>"
 
 
+def _character(code_point: Column) -> Column:
+    """The character of a code point; what is none becomes U+FFFD."""
+    valid = code_point.between(1, 0xD7FF) | code_point.between(0xE000, 0x10FFFF)
+    known = F.when(valid, code_point).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+
+
 def decode_entities(col: Column) -> Column:
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, col)
+    """Named and numeric character references as characters, each once; others
+    (an unknown name, no semicolon) stay as they are.  The names come from the
+    standard library's table."""
+    names = F.create_map(*[F.lit(x) for name, code in (*name2codepoint.items(), ("apos", 39)) for x in (name, code)])
+
+    def decoded(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = (F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10).cast("bigint"))
+                .when(ref.startswith("#"), F.substring(ref, 2, 7).cast("bigint"))
+                .when(ref != "", F.try_element_at(names, ref).cast("bigint")))
+        rest = F.substring(piece, F.length(ref) + F.lit(2), F.length(piece))
+        return F.when(code.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(_character(code), rest))
+
+    pieces = F.split(col, "&")
+    all_of = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return F.when(col.contains("&"), all_of).otherwise(col)
 
 
 def strip_scripts(html: Column) -> Column:

@@ -40,8 +40,10 @@ def add_domain(df: DataFrame, rules: DataFrame) -> DataFrame:
 
 def add_element_order(df: DataFrame) -> DataFrame:
     """``order`` = running count of elements of the URL (in (country, pos)
-    order), starting at 2.  Numbered before dedupe, so later drops leave gaps."""
-    w = Window.partitionBy("url").orderBy("country", "pos")
+    order; a URL stored twice is told apart by redirect, tag and text), starting
+    at 2.  Numbered before dedupe, so later drops leave gaps."""
+    ties = [c for c in ("url_redirect", "tag", "text") if c in df.columns]
+    w = Window.partitionBy("url").orderBy("country", "pos", *ties)
     return df.withColumn("order", (F.row_number().over(w) + (ORDER_START - 1)).cast("bigint"))
 
 

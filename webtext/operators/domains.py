@@ -24,9 +24,23 @@ from ..functions.text import strip_ws
 MAX_BROADCAST_RULES = 200_000
 
 
+# Optional scheme, optional user part, then the host up to port, path, query or
+# fragment; a bracketed address is a host as it stands.
+_AUTHORITY = r"^\s*(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)?(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:\s]*)(?:[/?#:]|\s*$)"
+_IP = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
+
+
 def host_of(url):
-    """Lower-cased host of a URL (null for anything that is not a URL)."""
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """Lower-cased host of a URL, with or without a scheme; odd characters,
+    underscores and non-ASCII labels are kept, trailing dots are dropped.  Null
+    where nothing stands in the host's place."""
+    host = F.regexp_replace(F.regexp_extract(url, _AUTHORITY, 1), r"\.+$", "")
+    return F.lower(F.when(host != "", host))
+
+
+def labels_of(host):
+    """The host's labels; an address is one label, kept whole."""
+    return F.when(host.rlike(_IP), F.array(host)).otherwise(F.split(host, r"\."))
 
 
 def prepare_rules(rules: DataFrame, rule_col: str = "rule") -> DataFrame:
@@ -44,7 +58,10 @@ def prepare_rules(rules: DataFrame, rule_col: str = "rule") -> DataFrame:
                 .otherwise(F.col("r")).alias("key"),
                 F.when(F.col("r").startswith("*."), 1)
                 .when(F.col("r").startswith("!"), 2).otherwise(0).alias("kind"))
-            .distinct())
+            # one row per key and lookup, so that no join repeats a row; an
+            # exception beats an exact rule of the same name
+            .groupBy("key", (F.col("kind") == 1).alias("wild")).agg(F.max("kind").alias("kind"))
+            .select("key", "kind"))
 
 
 def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
@@ -56,8 +73,7 @@ def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
 def host_domains(hosts: DataFrame, rules: DataFrame, host_col: str = "host") -> DataFrame:
     """Distinct hosts -> (host, domain)."""
     prepared = _maybe_broadcast(prepare_rules(rules), MAX_BROADCAST_RULES)
-    labels = F.split(F.col(host_col), r"\.")
-    n = F.size(labels)
+    labels = labels_of(F.col(host_col))
     # candidate i = labels[i..n-1] joined (i = 0 is the whole host)
     cand = (hosts.select(host_col, labels.alias("labels"))
             .select(host_col, "labels",
@@ -83,7 +99,7 @@ def host_domains(hosts: DataFrame, rules: DataFrame, host_col: str = "host") ->
         F.concat_ws(".", F.col("labels")[F.col("start") - 1],
                     F.array_join(F.slice("labels", F.col("start") + 1, F.size("labels")), ".")))
     found = best.select(host_col, dom.alias("domain"))
-    last = F.element_at(F.split(F.col(host_col), r"\."), -1)
+    last = F.element_at(labels, -1)
     return (hosts.join(found, host_col, "left")
             .select(host_col, F.coalesce("domain", F.concat(last, F.lit("."))).alias("domain")))
 
@@ -111,7 +127,9 @@ def _lookup_by_depth(df: DataFrame, prepared: DataFrame, labels: str, depth: int
         out = out.join(e, _suffix(lab, k) == F.col(f"_ek{k}"), "left").drop(f"_ek{k}")
         if k >= 2:
             w = F.broadcast(wild.select(F.col("key").alias(f"_wk{k}"), F.lit(True).alias(wk)))
-            out = out.join(w, _suffix(lab, k - 1) == F.col(f"_wk{k}"), "left").drop(f"_wk{k}")
+            # the wildcard stands for a label that the host must have
+            under = F.when(F.size(lab) >= k, _suffix(lab, k - 1))
+            out = out.join(w, under == F.col(f"_wk{k}"), "left").drop(f"_wk{k}")
             hit = F.col(ek).isin(0) | F.col(wk).isNotNull()
         else:
             hit = F.col(ek).isin(0)
@@ -144,7 +162,7 @@ def registered_domain(df: DataFrame, rules: DataFrame, url_col: str = "url",
     # one small job: size of the rule table and its deepest rule
     n_rules, depth = prepared.agg(F.count(F.lit(1)), F.max(F.size(F.split("key", r"\.")))).first()
     if n_rules <= MAX_BROADCAST_RULES:
-        labeled = with_host.withColumn("_labels", F.split("_host", r"\."))
+        labeled = with_host.withColumn("_labels", labels_of(F.col("_host")))
         looked = _lookup_by_depth(labeled, prepared, "_labels", depth or 0)
         dom = F.when(F.col("_host").isNotNull(), _domain_from_suffix(F.col("_labels"), F.col("_sfx")))
         return looked.withColumn(out_col, dom).drop("_host", "_labels", "_sfx")

@@ -64,6 +64,9 @@ def row_index(df: DataFrame, part: str, key: str, bucket_width: int = 1 << 16,
     wb = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
     wr = Window.partitionBy(part, "_bucket").orderBy(key)
-    return (with_b.join(offsets, [part, "_bucket"])
+    # null-safe: rows without a part are a part of their own
+    offsets = offsets.withColumnsRenamed({part: "_part", "_bucket": "_range"})
+    same = F.col(part).eqNullSafe(F.col("_part")) & F.col("_bucket").eqNullSafe(F.col("_range"))
+    return (with_b.join(offsets, same).drop("_part", "_range")
             .withColumn(out, (F.col("_offset") + F.row_number().over(wr)).cast("bigint"))
             .drop("_bucket", "_offset"))

@@ -44,10 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the deployment (a shared file system).
-    Only when it is unset (local tests) a scratch folder is created.
+    Only when it is unset and the session is local (tests) a scratch folder is
+    created; on a cluster each executor would write to its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="webtext-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,9 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """A driver table; spread over the cores when it arrives in fewer
-    partitions than there are cores (one row group).  On real input split in
-    many files this is a no-op."""
+    """A driver table as it is stored.  Only where ``spark.webtext.spreadInput``
+    is set (the benchmark, whose tables are one row group each) it is dealt over
+    the cores."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spark.conf.get("spark.webtext.spreadInput", "false") != "true":
+        return df
     want = spark.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
