@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import on_workers, plain, saved
+from .common import id_key, on_workers, plain, saved
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEGMENTS, SEED = 4, 4, 3, 42
@@ -248,7 +248,8 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, segmen
     rows with that id one stays, and so does one of a component without ids."""
     found = near_duplicates(docs, k, max_bits, segments)
     firsts = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .select(F.col("doc_id").alias("__keep")).distinct())
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("__keep"))).drop("__keep")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+              .select(id_key().alias("__id")).distinct())
+    # the join and the window share one key, so that texts are dealt out once
+    kept = docs.withColumn("__id", id_key()).join(firsts, "__id", "left_semi")
+    order = Window.partitionBy("__id").orderBy("text")
+    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__id")
