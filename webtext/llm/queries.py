@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, lm, packing, pieces, quality, rules, simhash, tokenfiles
+from . import fingerprints, licenses, lines, lm, packing, pieces, quality, rules, simhash, tokenfiles
 from .common import documents
 
 
@@ -54,6 +54,10 @@ def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op8_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(documents(spark, sf_dir))
+
+
 def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_and_decode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
@@ -73,4 +77,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lz_fingerprints, op2_hilbert_packing, op3_line_dedup, op4_token_files,
                             op5_quadratic_discriminant, op6_line_first_rules, op7_elias_fano_lm,
-                            op9_streaming_viterbi, op10_simhash_groups, pipeline)}
+                            op8_license_compression, op9_streaming_viterbi, op10_simhash_groups, pipeline)}
