@@ -15,8 +15,8 @@ before the boundary are dropped.
              border would cross it in the pair too).  So a node has one valid
              edge, found by that test on pairs; no text is merged as a whole.
 
-Where no piece of the vocabulary has the space mark behind another character,
-all paths converge before every such mark: these boundaries are taken as known,
+Where no piece holds the two characters around a boundary, all paths converge
+there.  Such boundaries are taken as known, first those before a space mark,
 and the ids between two of them, which depend on nothing else, are remembered
 (at most ``LIMIT`` segments per worker).
 
@@ -53,46 +53,56 @@ class StreamingViterbi:
     """The pieces of a text, given in chunks of any size."""
 
     def __init__(self, scores: dict[str, float], kind: str, unknown: float = -1e6) -> None:
-        self.scores, self.kind, self.unknown = scores, kind, unknown
+        self.scores, self.unknown = scores, unknown
         self.width = max(map(len, scores), default=1)
+        #: Every ending of a piece, and whether it is a piece itself.
+        self._endings = {p[k:]: p[k:] in scores for p in scores for k in range(len(p))}
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._extend, self._start = (self._merged_pieces, "") if kind == "bpe" else (self._best_pieces, 0.0)
 
     def pieces(self, chunks: Iterable[str]) -> Iterator[list[str]]:
         """Lists of committed pieces, in order."""
-        text, before = "", ""         # since the last committed boundary; the piece in front of it
-        back, best = [0], [0.0]       # per boundary in ``text``: length of its last piece, score
+        text = ""                            # since the last committed boundary
+        back, state = [0], [self._start]     # per boundary: length of its last piece; that piece, or the path's score
         check = 2 * self.width
         for chunk in chunks:
             for at in range(0, len(chunk), 4 * self.width):
                 text += chunk[at:at + 4 * self.width]
-                self._extend(text, before, back, best)
+                self._extend(text, back, state)
                 if len(text) >= check:
                     cut = self._converged(back)
                     if cut:
-                        done = _path(text, back, cut)
-                        yield done
-                        before, text, back, best = done[-1], text[cut:], [0, *back[cut + 1:]], best[cut:]
+                        yield _path(text, back, cut)
+                        text, back, state = text[cut:], [0, *back[cut + 1:]], state[cut:]
                     check = len(text) + 2 * self.width
         if text:
             yield _path(text, back, len(text))
 
-    def _extend(self, text: str, before: str, back: list[int], best: list[float]) -> None:
+    def _merged_pieces(self, text: str, back: list[int], state: list) -> None:
+        ending, pair = self._endings.get, self._pairs.get
         for end in range(len(back), len(text) + 1):
-            chosen, top = 0, 0.0
-            for n in range(min(self.width, end), 0, -1):
-                piece, start = text[end - n:end], end - n
-                if piece not in self.scores and n > 1:
-                    continue
-                if self.kind == "bpe":
-                    if self._neighbours(text[start - back[start]:start] if start else before, piece):
-                        chosen = n
+            for start in range(end - 1, -1, -1):
+                piece = text[start:end]
+                whole = ending(piece)
+                if whole or start == end - 1:
+                    known = pair((state[start], piece))
+                    if known or known is None and self._neighbours(state[start], piece):
                         break
-                else:
-                    score = best[start] + self.scores.get(piece, self.unknown)
-                    if not chosen or score > top:
-                        chosen, top = n, score
+                # one of the lengths is valid, so the loop ends by the break above
+            back.append(end - start)
+            state.append(piece)
+
+    def _best_pieces(self, text: str, back: list[int], state: list) -> None:
+        for end in range(len(back), len(text) + 1):
+            chosen, top = 1, state[end - 1] + self.scores.get(text[end - 1:end], self.unknown)
+            for n in range(2, end + 1):
+                whole = self._endings.get(text[end - n:end])
+                if whole is None:
+                    break
+                if whole and state[end - n] + self.scores[text[end - n:end]] >= top:
+                    chosen, top = n, state[end - n] + self.scores[text[end - n:end]]
             back.append(chosen)
-            best.append(top)
+            state.append(top)
 
     def _converged(self, back: list[int]) -> int:
         """The last boundary on the paths of all nodes a coming piece can start at."""
@@ -104,11 +114,9 @@ class StreamingViterbi:
         return alive.pop()
 
     def _neighbours(self, left: str, right: str) -> bool:
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= LIMIT:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self._merged(left + right) == ([left, right] if left else [right])
+        if len(self._pairs) >= LIMIT:
+            self._pairs.clear()
+        known = self._pairs[left, right] = self._merged(left + right) == ([left, right] if left else [right])
         return known
 
     def _merged(self, text: str) -> list[str]:
@@ -154,6 +162,7 @@ class PieceModel:
         byte_ids = [i for i in range(n) if sp.is_byte(i)]
         self.bytes = {int(names[i][3:5], 16): i for i in byte_ids}
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.prefix = sp.normalize("a").startswith(SPACE)
         self.known: dict[str, bytes] = {}
         # what an id stands for in the decoded bytes; control pieces stand for nothing
@@ -172,6 +181,12 @@ class PieceModel:
         return b"".join(out)
 
     def _segment(self, segment: str) -> bytes:
+        if self.bytes and len(segment) <= LONGEST:
+            # no piece holds the two characters around these boundaries
+            ends = [i for i in range(1, len(segment)) if segment[i - 1:i + 1] not in self.inside]
+            if ends:
+                parts = [segment[a:b] for a, b in zip([0, *ends], [*ends, len(segment)])]
+                return self._keep(segment, b"".join([self.known.get(p) or self._segment(p) for p in parts]))
         out, unknown = array("I"), False
         for pieces in self.viterbi.pieces([segment]):
             for piece in pieces:
@@ -183,7 +198,9 @@ class PieceModel:
                 elif not unknown:
                     out.append(self.unknown)
                 unknown = i is None
-        data = out.tobytes()
+        return self._keep(segment, out.tobytes())
+
+    def _keep(self, segment: str, data: bytes) -> bytes:
         if len(segment) <= LONGEST:
             if len(self.known) >= LIMIT:    # common segments are met early: the younger half goes
                 self.known = dict(islice(self.known.items(), LIMIT // 2))
