@@ -258,32 +258,40 @@ def grams_sql(src: str, key: str) -> str:
         GROUP BY {key}, gram)"""
 
 
-PROFILE = grams_sql("(SELECT lang, text FROM documents WHERE doc_id % 2 = 0)", "lang")
+PROFILE = grams_sql("(SELECT lang, text FROM documents WHERE lang IS NOT NULL)", "lang")
 oracle("language_profiles", [], f"SELECT lang, gram, n FROM {PROFILE}")
-oracle("detect_language", [], f"""
-    WITH prof AS {PROFILE},
+
+
+def detect_sql(src: str) -> str:
+    """Rows of ``src`` (with text) with detected and language; rows are numbered."""
+    return f"""(WITH prof AS {PROFILE},
     V AS (SELECT count(DISTINCT gram) AS v FROM prof),
     T AS (SELECT lang, sum(n) AS t FROM prof GROUP BY lang),
-    test AS (SELECT doc_id, lang, text FROM documents WHERE doc_id % 2 = 1),
-    dg AS {grams_sql('test', 'doc_id')},
+    test AS (SELECT *, row_number() OVER () AS rid FROM {src}),
+    dg AS {grams_sql('test', 'rid')},
     known AS (SELECT dg.* FROM dg SEMI JOIN (SELECT DISTINCT gram FROM prof) USING (gram)),
-    sc AS (SELECT k.doc_id, T.lang,
+    sc AS (SELECT k.rid, T.lang,
                   sum(k.n * ln((coalesce(p.n, 0) + 1) / (T.t + V.v))) AS s
            FROM known k CROSS JOIN T CROSS JOIN V
            LEFT JOIN prof p ON p.gram = k.gram AND p.lang = T.lang
-           GROUP BY k.doc_id, T.lang),
-    best AS (SELECT doc_id, lang AS detected FROM (
-             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang DESC) AS r FROM sc)
+           GROUP BY k.rid, T.lang),
+    best AS (SELECT rid, lang AS detected FROM (
+             SELECT *, row_number() OVER (PARTITION BY rid ORDER BY s DESC, lang DESC) AS r FROM sc)
              WHERE r = 1)
-    SELECT test.doc_id, test.lang, best.detected,
+    SELECT test.* EXCLUDE (rid), best.detected,
            CASE WHEN test.text IS NULL OR {collapse_ws('test.text')} = '' THEN 'Other'
                 WHEN best.detected IS NULL THEN 'Error'
                 WHEN best.detected = 'en' THEN 'eng' WHEN best.detected = 'de' THEN 'ger'
                 ELSE 'Other' END AS language
-    FROM test LEFT JOIN best USING (doc_id)""")
-oracle("filter_language", [], """SELECT doc_id, language FROM (
-    SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'ger' ELSE 'Other' END AS language
-    FROM documents) WHERE language IN ('eng', 'ger')""")
+    FROM test LEFT JOIN best USING (rid))"""
+
+
+def study_sql(src: str) -> str:
+    return f"(SELECT * FROM {detect_sql(src)} WHERE language IN ('eng', 'ger'))"
+
+
+oracle("detect_language", [], f"SELECT doc_id, lang, detected, language FROM {detect_sql('documents')}")
+oracle("filter_language", [], f"SELECT doc_id, language FROM {study_sql('documents')}")
 TOP = """(SELECT doc_id, token, logprob, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY logprob DESC, token) AS rank FROM v_scores)
     WHERE rank <= 3)"""

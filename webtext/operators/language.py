@@ -6,7 +6,7 @@ Scoring is multinomial naive Bayes with add-one smoothing over the trigram
 vocabulary: ``score(d, L) = sum_g n(d, g) * ln((c(L, g) + 1) / (T_L + V))``
 over the document's trigrams that occur in the vocabulary.  The profile is
 held wide (one row per trigram, one count column per language), so scoring is
-one equi-join on the trigram and one aggregate per document; the corpus-wide
+one broadcast join on the trigram and one aggregate per document; the corpus-wide
 totals ``T_L`` and ``V`` enter as scalar subqueries.
 """
 
@@ -22,30 +22,31 @@ STUDY_LANGUAGES = {"en": "eng", "de": "ger"}   # detected code -> study label
 OTHER, ERROR = "Other", "Error"
 # --- end of fixed values --------------------------------------------------
 
-# Profiles up to this many trigrams are broadcast to the scoring join.
-MAX_BROADCAST_GRAMS = 2_000_000
+# A profile up to this many bytes (estimated from its rows) is broadcast.
+MAX_BROADCAST_BYTES = 256 << 20
+GRAM_BYTES = 48                # a row's trigram and overhead, without scores
 
 
 def padded(text) -> F.Column:
     return F.concat(F.lit(" "), F.lower(collapse_ws(text)), F.lit(" "))
 
 
-def trigram_counts(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys..., gram, n): trigram counts of each row's whole text."""
+def trigrams(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys..., gram): every trigram of each row's whole text, repeats included."""
     # every overlapping trigram in one linear regex pass: a zero-width match at
     # each position captures the three characters that follow it
     grams = F.regexp_extract_all(padded(F.col(text_col)), F.lit(r"(?s)(?=(.{3}))"), 1)
     # explode_outer + null filter keeps the optimizer from inferring (and
     # pushing down) a size() > 0 predicate that would extract the trigrams twice
     return (df.select(*keys, F.explode_outer(grams).alias("gram"))
-            .filter(F.col("gram").isNotNull())
-            .groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n")))
+            .filter(F.col("gram").isNotNull()))
 
 
 def language_profiles(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, gram, n) trigram counts per language."""
-    tc = trigram_counts(train.select(F.col(lang_col).alias("lang"), text_col), ["lang"], text_col)
-    return tc.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    """(lang, gram, n) trigram counts per language, over every row with a label."""
+    rows = train.select(F.col(lang_col).alias("lang"), text_col).filter(F.col("lang").isNotNull())
+    return (trigrams(rows, ["lang"], text_col)
+            .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
 
 
 def wide_profile(profiles: DataFrame, languages: list[str]) -> DataFrame:
@@ -61,22 +62,32 @@ def wide_profile(profiles: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, languages: list[str],
-                    key: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    key: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
     """Add ``language`` (study label: eng / ger / Other; Error when no trigram
-    of the text is known) and ``detected`` (best profile language)."""
+    of the text is known) and ``detected`` (best profile language).
+
+    A score is a sum over trigrams, so they are joined to the broadcast profile
+    where they are read and summed per row before the only exchange, which
+    carries one row per document and task.  A profile too large to broadcast is
+    joined on the trigram, after the repeats within each row are counted."""
+    keys = [key] if isinstance(key, str) else list(key)
     prof = wide_profile(profiles, languages)
-    prof = F.broadcast(prof) if prof.count() <= MAX_BROADCAST_GRAMS else prof
-    grams = trigram_counts(df.select(key, text_col), [key], text_col)
+    grams = trigrams(df.select(*keys, text_col), keys, text_col).withColumn("n", F.lit(1))
+    n_grams = profiles.select(F.count_distinct("gram")).first()[0]
+    if n_grams * (GRAM_BYTES + 8 * len(languages)) <= MAX_BROADCAST_BYTES:
+        prof = F.broadcast(prof)
+    else:
+        grams = grams.groupBy(*keys, "gram").agg(F.sum("n").alias("n"))
     scored = (grams.join(prof, "gram")
-              .groupBy(key).agg(*[F.sum(F.col("n") * F.col(f"lp_{lang}")).alias(f"s_{lang}")
-                                  for lang in languages]))
-    best = F.greatest(*[F.struct(F.col(f"s_{lang}").alias("s"), F.lit(lang).alias("lang"))
-                        for lang in languages])["lang"]
-    scored = scored.select(key, best.alias("detected"))
+              .groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(f"lp_{lang}")).alias(f"s_{lang}")
+                                    for lang in languages]))
+    named = [F.struct(F.col(f"s_{lang}").alias("s"), F.lit(lang).alias("lang")) for lang in languages]
+    best = (F.greatest(*named) if len(named) > 1 else named[0])["lang"]
+    scored = scored.select(*keys, best.alias("detected"))
     label = F.coalesce(*[F.when(F.col("detected") == k, F.lit(v)) for k, v in STUDY_LANGUAGES.items()],
                        F.lit(OTHER))
     blank = F.col(text_col).isNull() | (F.length(collapse_ws(F.col(text_col))) == 0)
-    return (df.join(scored, key, "left")
+    return (df.join(scored, keys, "left")
             .withColumn("language", F.when(blank, F.lit(OTHER))
                         .when(F.col("detected").isNull(), F.lit(ERROR)).otherwise(label)))
 

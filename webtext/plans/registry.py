@@ -278,32 +278,33 @@ def repair_latin1(spark, sf):
 
 # ---- language + scores ----------------------------------------------------------------------
 
-def _train_test(spark, sf):
-    d = FX.table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return d.filter(F.col("doc_id") % 2 == 0), d.filter(F.col("doc_id") % 2 == 1)
+def profile_table(spark, sf):
+    """Trigram counts per language over every labelled document, written once,
+    and its languages (the values of a code column: a handful of rows)."""
+    d = FX.table(spark, sf, "documents").select("text", "lang")
+    prof = files.materialise(spark, language.language_profiles(d), "profiles")
+    langs = sorted(r[0] for r in prof.select("lang").distinct().collect())
+    return prof, langs
 
 
 @query
 def language_profiles(spark, sf):
-    train, _ = _train_test(spark, sf)
-    return language.language_profiles(train)
+    return language.language_profiles(FX.table(spark, sf, "documents"))
+
+
+def detected(spark, sf):
+    d = FX.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return language.detect_language(d, *profile_table(spark, sf))
 
 
 @query
 def detect_language(spark, sf):
-    train, test = _train_test(spark, sf)
-    prof = files.materialise(spark, language.language_profiles(train), "profiles")
-    langs = sorted(r[0] for r in prof.select("lang").distinct().collect())
-    return (language.detect_language(test, prof, langs)
-            .select("doc_id", "lang", "detected", "language"))
+    return detected(spark, sf).select("doc_id", "lang", "detected", "language")
 
 
 @query
 def filter_language(spark, sf):
-    d = FX.table(spark, sf, "documents").select("doc_id", "lang")
-    lab = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v))
-                       for k, v in language.STUDY_LANGUAGES.items()], F.lit(language.OTHER))
-    return language.filter_language(d.withColumn("language", lab)).select("doc_id", "language")
+    return language.filter_language(detected(spark, sf)).select("doc_id", "language")
 
 
 def _top(spark, sf):
