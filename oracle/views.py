@@ -153,7 +153,7 @@ def _mojibake(sz: str) -> str:
     t = "text"
     for good, bad in [("ä", "Ã¤"), ("ö", "Ã¶"), ("ü", "Ã¼"), ("ß", sz)]:
         t = f"replace({t}, {q(good)}, {q(bad)})"
-    return f"SELECT doc_id, {t} AS text, text AS original FROM documents WHERE lang = 'de'"
+    return f"SELECT doc_id, {t} AS text, text AS original FROM documents"
 
 
 view("v_mojibake_dict", [], _mojibake("ÃŸ"))

@@ -1,12 +1,11 @@
 """Encoding repair as native column expressions (no Python UDF).
 
-Two repairs are offered:
-
-* :func:`latin1_roundtrip` -- text that was UTF-8 but decoded as Latin-1
-  (``Ã¤`` for ``ä``) is re-encoded to bytes and decoded as UTF-8, but only when
-  every character fits in one byte and the bytes form valid UTF-8.
+* :func:`fix_encoding` -- UTF-8 that was read as Latin-1 or cp1252 (``Ã¤`` for
+  ``ä``, ``â€“`` for ``–``) is decoded again, each sequence for itself, so other
+  characters of the text neither hinder the repair nor change.
 * :func:`dictionary_repair` -- an ordered list of literal replacements applied
   one after the other (later keys may match text produced by earlier ones).
+* :func:`repair_text` -- both, in that order, as a stage before cleaning.
 """
 
 from __future__ import annotations
@@ -115,30 +114,59 @@ def _as_mapping(entries):
 REPAIR_PAIRS = _as_mapping(REPAIR_ENTRIES) + [WORD_FIX]
 
 
-def _guard_class(pairs) -> str:
-    """Character class of every non-ASCII character of any key; a text that has
-    none of them cannot match any key, so the replace chain is skipped."""
-    chars = sorted({c for k, _ in pairs for c in k if ord(c) > 0x7F})
-    return "[" + "".join("\\x{%X}" % ord(c) for c in chars) + "]"
-
-
-GUARD_PATTERN = _guard_class(REPAIR_PAIRS)
+def _guard(pairs) -> str:
+    """Any key of the list.  A text without one is left by the first replace
+    that could change it, so the chain is skipped."""
+    return "|".join("\\Q%s\\E" % k for k, _ in pairs)
 
 
 def dictionary_repair(col: Column, pairs=None) -> Column:
     """Apply ordered literal replacements sequentially; null stays null."""
     pairs = REPAIR_PAIRS if pairs is None else pairs
     chained = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), pairs, col)
-    return F.when(col.rlike(_guard_class(pairs)), chained).otherwise(col)
-
+    return F.when(col.rlike(_guard(pairs)), chained).otherwise(col)
+
+
+# The bytes 0x80..0x9F as cp1252 shows them; the five it leaves out stay controls.
+CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+CP1252_CHARS = bytes(CP1252_BYTES).decode("cp1252")
+CP1252_CONTROLS = "".join(map(chr, CP1252_BYTES))
+
+
+def _misread_pattern() -> str:
+    """One UTF-8 sequence read as single characters.
+
+    A printable character counts as a continuation only behind the leads of
+    Western letters, punctuation and emoji: ``ß“``, ``É”`` or ``é »`` are
+    ordinary text.  Behind any other lead a control character must follow.
+    Leads and continuations share no character, so matches cannot overlap."""
+    control = r"[\x{80}-\x{9F}]"
+    follow = r"[\x{80}-\x{BF}" + "".join("\\x{%X}" % ord(c) for c in CP1252_CHARS) + "]"
+    return "(?:" + "|".join([
+        r"[\x{C2}\x{C3}]" + follow,
+        r"[\x{C4}-\x{DF}]" + control,
+        r"\x{E2}[\x{20AC}\x{201A}\x{201E}]" + follow,
+        r"[\x{E0}-\x{EF}]" + control + follow,
+        r"\x{F0}\x{178}" + follow * 2,
+        r"[\x{F0}-\x{F4}]" + control + follow * 2,
+    ]) + ")"
+
+
+MISREAD = _misread_pattern()
+
+
+def fix_encoding(col: Column) -> Column:
+    """Decode each misread sequence again; a sequence whose bytes are not valid
+    UTF-8 stays as it is.  Null stays null."""
+    def decoded(piece):
+        latin = F.translate(piece, CP1252_CHARS, CP1252_CONTROLS)
+        text = F.encode(F.when(piece.rlike(f"^{MISREAD}$"), latin), "ISO-8859-1").cast("string")
+        return F.when(F.is_valid_utf8(text), text).otherwise(piece)
+    pieces = F.split(col, f"(?={MISREAD})|(?<={MISREAD})")
+    return (F.when(col.rlike(MISREAD), F.array_join(F.transform(pieces, decoded), ""))
+            .otherwise(col))
 
-def latin1_roundtrip(col: Column) -> Column:
-    """Undo UTF-8-read-as-Latin-1 when the round trip is well defined.
 
-    Rows with a character above U+00FF, or whose byte image is not valid
-    UTF-8, are returned unchanged (``encode`` would raise on the former)."""
-    one_byte = col.rlike(r"^[\x{0}-\x{FF}]*$")
-    as_bytes = F.encode(col, "ISO-8859-1")
-    repaired = as_bytes.cast("string")
-    return (F.when(one_byte & F.is_valid_utf8(F.when(one_byte, repaired)), repaired)
-            .otherwise(col))
+def repair_text(col: Column) -> Column:
+    """The general fix, then the dictionary, whose last entry is the word fix."""
+    return dictionary_repair(fix_encoding(col))

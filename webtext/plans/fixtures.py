@@ -91,15 +91,19 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("text_length", F.length("text")))
 
 
-def mojibake(spark: SparkSession, sf: str, style: str = "dictionary") -> DataFrame:
-    """German documents with umlauts written as UTF-8 bytes read as one-byte
-    characters; ``ß`` as the cp1252 (dictionary) or Latin-1 reading."""
+def misread(t, style: str = "dictionary"):
+    """Umlauts as UTF-8 bytes read as one-byte characters; ``ß`` in the cp1252
+    (dictionary) or Latin-1 reading."""
     sz = "ÃŸ" if style == "dictionary" else "Ã\u009f"
-    t = F.col("text")
     for good, bad in [("ä", "Ã¤"), ("ö", "Ã¶"), ("ü", "Ã¼"), ("ß", sz)]:
         t = F.replace(t, F.lit(good), F.lit(bad))
-    d = table(spark, sf, "documents").filter(F.col("lang") == "de")
-    return d.select("doc_id", t.alias("text"), F.col("text").alias("original"))
+    return t
+
+
+def mojibake(spark: SparkSession, sf: str, style: str = "dictionary") -> DataFrame:
+    """Every document as it would be stored misread."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", misread(F.col("text"), style).alias("text"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:

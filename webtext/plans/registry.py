@@ -273,7 +273,22 @@ def repair_dictionary(spark, sf):
 @query
 def repair_latin1(spark, sf):
     m = FX.mojibake(spark, sf, "latin1")
-    return m.select("doc_id", repair.latin1_roundtrip(F.col("text")).alias("text"))
+    return m.select("doc_id", repair.fix_encoding(F.col("text")).alias("text"))
+
+
+def repaired(df: DataFrame) -> DataFrame:
+    """The repair stage: only the German sources were stored misread."""
+    return df.withColumn("text", F.when(F.col("country") == "ger", repair.repair_text(F.col("text")))
+                         .otherwise(F.col("text")))
+
+
+@query
+def repair_text(spark, sf):
+    """All scraped elements, misread in the German sources, repaired."""
+    d = FX.docs(spark, sf)
+    misread = F.when(F.col("country") == "ger", FX.misread(F.col("text"), "dictionary"))
+    return (d.withColumn("text", misread.otherwise(F.col("text"))).transform(repaired)
+            .select("doc_id", "country", "text"))
 
 
 # ---- language + scores ----------------------------------------------------------------------
