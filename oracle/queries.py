@@ -176,8 +176,8 @@ def merge_sql(src: str) -> str:
       FROM {src})))"""
 
 
-def filtered_sql(src: str) -> str:
-    return f"""(SELECT array_to_string(keywords, ', ') AS keywords, text, country, domain, url
+def filtered_sql(src: str, carry: str = "") -> str:
+    return f"""(SELECT array_to_string(keywords, ', ') AS keywords, text, country, domain, url{carry}
         FROM {merge_sql(hits_sql(corpus_sql(src)))}
         WHERE len(keywords) >= 2 AND NOT is_heading AND NOT remove_following)"""
 
@@ -225,6 +225,8 @@ oracle("resume_append", ["v_elements", "v_routed", "v_done"], """
 # ---- sources --------------------------------------------------------------------------------------------
 
 oracle("csv_roundtrip", [], "SELECT doc_id, text, lang, source, n_chars FROM documents")
+oracle("corpus_sink", ["v_docs"], f"""SELECT {CORPUS_COLS.replace(' text,', " nullif(text, '') AS text,")}
+    FROM {corpus_sql('v_docs')}""")
 STRIP = f"'^{WS}+|{WS}+$'"
 oracle("keyword_list", [], f"""SELECT value FROM (
     SELECT regexp_replace(unnest(string_split(text, chr(10))), {STRIP}, '', 'g') AS value FROM documents)
@@ -309,11 +311,17 @@ oracle("scores_wide", ["v_scores"], f"SELECT * FROM {WIDE}")
 
 # ---- classes ----------------------------------------------------------------------------------------------------
 
-SCORED = f"""(SELECT c.doc_id, c.country, c.domain, c.url, c.text,
+REPAIRED = f"""(SELECT * REPLACE (CASE WHEN country = 'ger' THEN {replace_chain('text', R.REPAIR_PAIRS)}
+    ELSE text END AS text) FROM v_docs)"""
+STUDY = study_sql(filtered_sql(REPAIRED, ', doc_id, "order"'))
+oracle("study_texts", ["v_docs"], f"""SELECT doc_id, country, domain, url, "order", keywords, language, text
+    FROM {STUDY}""")
+SCORED = f"""(SELECT c.doc_id, c.language, c.country, c.domain, c.url, c.text,
     CASE WHEN w.linprob_1 <= 50 THEN NULL ELSE w.token_1 END AS token_1, w.linprob_1,
     w.token_2, w.linprob_2, w.token_3, w.linprob_3
-    FROM {corpus_sql('v_docs')} c LEFT JOIN {WIDE} w USING (doc_id))"""
-oracle("attach_scores", ["v_docs", "v_scores"], f"SELECT doc_id, country, domain, token_1, linprob_1 FROM {SCORED}")
+    FROM {STUDY} c LEFT JOIN {WIDE} w USING (doc_id))"""
+oracle("attach_scores", ["v_docs", "v_scores"],
+       f"SELECT doc_id, language, country, domain, token_1, linprob_1 FROM {SCORED}")
 oracle("domain_class_counts", ["v_docs", "v_scores"], f"""SELECT country, domain, token_1, count(*) AS len
     FROM {SCORED} WHERE token_1 IS NOT NULL GROUP BY ALL""")
 LABS = list(SC.CONCEPT_LABELS.values())
@@ -397,21 +405,22 @@ def dom_cov_sql(url_cov: str) -> str:
         FROM {url_cov} GROUP BY country, domain)"""
 
 
-URL_COV = url_cov_sql("(SELECT url, country FROM v_urls)", "v_elements", filtered_sql("v_elements"))
+URL_COV = url_cov_sql("(SELECT url, country FROM v_urls)", "v_elements",
+                      study_sql(filtered_sql("v_elements")))
 oracle("url_coverage", ["v_urls", "v_elements", "v_routed"], f"SELECT * FROM {URL_COV}")
 oracle("domain_coverage", ["v_urls", "v_elements", "v_routed"], f"SELECT * FROM {dom_cov_sql(URL_COV)}")
-DOC_COV = dom_cov_sql(url_cov_sql("(SELECT DISTINCT url, country FROM v_docs)", "v_docs", filtered_sql("v_docs")))
+DOC_COV = dom_cov_sql(url_cov_sql("(SELECT DISTINCT url, country FROM v_docs)", "v_docs", STUDY))
 COV_CLASSES = f"(SELECT * FROM {DOC_COV} d LEFT JOIN {PROPS} p USING (country, domain))"
 oracle("coverage_classes", ["v_docs", "v_scores", "v_routed"], f"SELECT * FROM {COV_CLASSES}")
-oracle("analysis_table", ["v_docs", "v_scores", "v_routed"] + FACT_VIEWS,
-       f"SELECT * FROM {COV_CLASSES} c JOIN {FACTS} f USING (country, domain) WHERE name IS NOT NULL")
+ANALYSIS = f"(SELECT * FROM {COV_CLASSES} c JOIN {FACTS} f USING (country, domain) WHERE name IS NOT NULL)"
+oracle("analysis_table", ["v_docs", "v_scores", "v_routed"] + FACT_VIEWS, f"SELECT * FROM {ANALYSIS}")
 
 # ---- quality + report ------------------------------------------------------------------------------------------------------
 
-oracle("stratified_sample", ["v_docs"], f"""SELECT doc_id, country, text, domain, url, '' AS concept FROM (
+oracle("stratified_sample", ["v_docs"], f"""SELECT doc_id, country, text, keywords, domain, url, '' AS concept FROM (
     SELECT *, row_number() OVER (PARTITION BY country
         ORDER BY md5('{FX.SAMPLE_SEED}|' || CAST(doc_id AS VARCHAR)), doc_id) AS rn
-    FROM {corpus_sql('v_docs')}) WHERE rn <= 20""")
+    FROM {filtered_sql('v_docs', ', doc_id')}) WHERE rn <= 20""")
 
 
 def code_label(x: str) -> str:
@@ -451,3 +460,31 @@ oracle("country_report", ["v_report"], f"""
            round(value, 6) AS value
     FROM g UNPIVOT INCLUDE NULLS (value FOR k IN ("number|Nmiss", "number|mean", "number|sd",
         "number|median", "number|min", "number|max", "flag|count_true", "flag|pct_true", "flag|Nmiss"))""")
+
+
+REPORT_NUMBERS = ["urls_all_count", "texts_all_total", "urls_filtered_count", "texts_filtered_total",
+                  "student_size_n", "international_per", "Collective", "Individual", "ind_coll_prop"]
+
+
+def _report_parts(row: str, group: str) -> list[str]:
+    parts = []
+    for c in REPORT_NUMBERS:
+        x = f"nullif(CAST({c} AS DOUBLE), 0.0)" if c in ("urls_filtered_count", "texts_filtered_total") \
+            else f"CAST({c} AS DOUBLE)"
+        for stat, agg in [("Nmiss", f"CAST(count_if({x} IS NULL) AS DOUBLE)"), ("mean", f"avg({x})"),
+                          ("sd", f"stddev_samp({x})"), ("median", f"median({x})"),
+                          ("min", f"min({x})"), ("max", f"max({x})")]:
+            parts.append(f"SELECT {row} AS country_name, '{c}' AS variable, '{stat}' AS statistic, "
+                         f"round({agg}, 6) AS value FROM a {group}")
+    for c in ["elite", "private", "old"]:
+        for stat, agg in [("count_true", f"CAST(count_if({c}) AS DOUBLE)"),
+                          ("pct_true", f"CASE WHEN count({c}) > 0 THEN count_if({c}) * 100.0 / count({c}) END"),
+                          ("Nmiss", f"CAST(count_if({c} IS NULL) AS DOUBLE)")]:
+            parts.append(f"SELECT {row} AS country_name, '{c}' AS variable, '{stat}' AS statistic, "
+                         f"round({agg}, 6) AS value FROM a {group}")
+    return parts
+
+
+oracle("analysis_report", ["v_docs", "v_scores", "v_routed"] + FACT_VIEWS,
+       f"WITH a AS MATERIALIZED (SELECT *, {_CN} AS country_name FROM {ANALYSIS}) "
+       + " UNION ALL ".join(_report_parts("'Total'", "") + _report_parts("country_name", "GROUP BY country_name")))

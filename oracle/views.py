@@ -177,9 +177,8 @@ def _facts_sheet(country: str) -> str:
         "founding_year": "CAST(s_suppkey + 1900 AS BIGINT)",
         "student_size_n": "CAST(floor(s_acctbal) AS DOUBLE)",
         "international_per": "CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal / 100 END",
-        "region": "'r' || CAST(s_nationkey AS VARCHAR)",
-        "student_size_correct": "CAST(NULL AS VARCHAR)",
-        "notes": "CAST(NULL AS VARCHAR)",
+        "nation": "'r' || CAST(s_nationkey AS VARCHAR)",
+        "phone": "'0' || CAST(s_suppkey AS VARCHAR)",
     }
     sel_list = ", ".join(f"{cols[c]} AS {c}" for c in FX.FACT_COLUMNS[country])
     return f"SELECT {sel_list} FROM supplier WHERE s_suppkey % 4 = {i}"

@@ -75,3 +75,35 @@ def test_partitioned_write_and_pruned_read(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "p")).filter("country = 'uk'")
     assert rows(back) == [(1, "uk")]
     assert "PartitionFilters: [isnotnull(country" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_partitioned_csv(spark, tmp_path):
+    from webtext.sources import files
+    path = str(tmp_path / "out")
+    rows = [("uk", "b", 2, "x;y"), ("ger", "a", 1, ""), ("uk", "a", 9, None), ("uk", "a", 3, 'q"\n')]
+    df = spark.createDataFrame(rows, "country string, url string, n int, text string").repartition(3)
+    files.write_csv(df, path, sep=";", sort_by=["country", "url", "n"], partition_by=["country"])
+    schema = "country string, url string, n int, text string"
+    back = files.read_csv(spark, path, schema, sep=";", empty_is_missing=True)
+    assert sorted((tuple(r[c] for c in ("country", "url", "n", "text")) for r in back.collect()), key=repr) == sorted(
+        [("uk", "b", 2, "x;y"), ("ger", "a", 1, None), ("uk", "a", 9, None), ("uk", "a", 3, 'q"\n')], key=repr)
+    one = back.filter("country = 'uk'")
+    filters = one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
+    assert "country" in filters.split("PushedFilters")[0]
+    written = []
+    for f in sorted((tmp_path / "out" / "country=uk").glob("part-*")):
+        written += spark.read.options(**files.CSV_OPTIONS).option("sep", ";").schema(
+            "url string, n int, text string").csv(str(f)).select("url", "n").collect()
+    assert [tuple(r) for r in written] == [("a", 3), ("a", 9), ("b", 2)]
+
+
+def test_overwriting_an_input_is_refused(spark, tmp_path):
+    import pytest
+    from webtext.sources import files
+    path = str(tmp_path / "my data")
+    files.write_csv(spark.range(3).selectExpr("id"), path)
+    back = files.read_csv(spark, path, "id bigint")
+    with pytest.raises(ValueError, match="is an input"):
+        files.write_csv(back.filter("id > 0"), path)
+    assert back.count() == 3
+    files.write_csv(back, str(tmp_path / "my data 2"))

@@ -17,7 +17,8 @@ MERGE_CODES = {4: 3}      # fixed value: code 4 is counted as 3
 
 
 def ratings_table(df: DataFrame, coders: list[str], raters: list[str]) -> DataFrame:
-    """Coders' code 4 -> 3, then every rater's code -> concept label."""
+    """Coders' code 4 -> 3, then every rater's code -> concept label; any
+    other code is an error."""
     out = df
     for c in coders:
         code = F.col(c)
@@ -25,7 +26,7 @@ def ratings_table(df: DataFrame, coders: list[str], raters: list[str]) -> DataFr
             code = F.when(code == a, F.lit(b)).otherwise(code)
         out = out.withColumn(c, code)
     for r in raters:
-        out = out.withColumn(r, label_of(F.col(r)))
+        out = out.withColumn(r, label_of(F.col(r), strict=True))
     return out
 
 

@@ -47,16 +47,21 @@ def add_element_order(df: DataFrame) -> DataFrame:
     return df.withColumn("order", (F.row_number().over(w) + (ORDER_START - 1)).cast("bigint"))
 
 
-def first_row_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_row_per_key(df: DataFrame, keys: list[str], order: list[str],
+                      wide: tuple[str, ...] = ("text",)) -> DataFrame:
     """One row per ``keys``: the one with the smallest ``order`` columns.
 
     Written as an aggregate of ``min(struct(order..., rest...))`` so that the
     map side already collapses repeats (a hot key ships one row per task),
-    instead of a window that would gather a whole group into one task."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
+    instead of a window that would gather a whole group into one task.  ``wide``
+    keys are grouped by their 128-bit hash, so rows are sorted and exchanged by
+    16 bytes and not by whole texts."""
+    plain = [c for c in keys if c not in wide]
+    digests = [F.unhex(F.md5(c)).alias(f"_h_{c}") for c in keys if c in wide]
+    rest = [c for c in df.columns if c not in plain and c not in order]
     packed = F.min(F.struct(*order, *rest)).alias("_first")
-    return (df.groupBy(*keys).agg(packed)
-            .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order + rest])
+    return (df.groupBy(*plain, *digests).agg(packed)
+            .select(*plain, *[F.col(f"_first.{c}").alias(c) for c in order + rest])
             .select(*df.columns))
 
 

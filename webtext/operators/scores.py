@@ -11,11 +11,15 @@ TOP_K = 3
 # --- end of fixed values --------------------------------------------------
 
 
-def label_of(code) -> F.Column:
-    """Integer code -> concept label (null when unmapped)."""
-    expr = None
+def label_of(code, strict: bool = False) -> F.Column:
+    """Integer code -> concept label.  A code that has none is null, or with
+    ``strict`` an error (a null code stays null)."""
+    expr = F
     for k, v in CONCEPT_LABELS.items():
-        expr = F.when(code == k, F.lit(v)) if expr is None else expr.when(code == k, F.lit(v))
+        expr = expr.when(code == k, F.lit(v))
+    if strict:
+        unknown = F.concat(F.lit("code without a label: "), code.cast("string"))
+        expr = expr.when(code.isNotNull(), F.raise_error(unknown))
     return expr
 
 

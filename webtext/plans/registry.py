@@ -148,14 +148,11 @@ def merged(spark, sf, source=None, corp=None):
     return keywords.heading_merge(hits(spark, sf, source, corp))
 
 
-def filtered(spark, sf, source=None, corp=None):
-    return keywords.keyword_filter(merged(spark, sf, source, corp))
+ROW_KEY = ("url", "order")       # names a cleaned element
 
 
-def corpus_table(spark, sf, source=None):
-    """The clean corpus written once to the shared folder: reused by the
-    keyword filter, the class counts and the coverage of one analysis."""
-    return files.materialise(spark, corpus(spark, sf, source), "corpus")
+def filtered(spark, sf, source=None, corp=None, carry=()):
+    return keywords.keyword_filter(merged(spark, sf, source, corp), carry)
 
 
 @query
@@ -246,6 +243,21 @@ def csv_roundtrip(spark, sf):
     return files.read_csv(spark, path, DOC_SCHEMA)
 
 
+CORPUS_ORDER = ["country", "domain", "url", "order"]
+CORPUS_SCHEMA = ("doc_id BIGINT, country STRING, domain STRING, url STRING, url_redirect STRING, "
+                 "`order` BIGINT, pos INT, tag STRING, text STRING, text_length INT, text_words BIGINT")
+
+
+@query
+def corpus_sink(spark, sf):
+    """The clean corpus in its output order as ``;`` CSV, a folder per country,
+    read back with empty text as missing."""
+    path = scratch_path(spark, "corpus_csv")
+    files.write_csv(corpus(spark, sf).select(*CORPUS_COLS), path, sep=";",
+                    sort_by=CORPUS_ORDER, partition_by=["country"])
+    return files.read_csv(spark, path, CORPUS_SCHEMA, sep=";", empty_is_missing=True).select(*CORPUS_COLS)
+
+
 @query
 def keyword_list(spark, sf):
     """Line lists: every document written as text lines and read back as a
@@ -351,16 +363,44 @@ def scores_wide(spark, sf):
     return wide(spark, sf)
 
 
+# ---- the chain: each step reads what the one before kept ---------------------------------------
+
+def chain_corpus(spark, sf):
+    """Repaired, then cleaned elements, written once: the keyword filter and
+    everything behind it read them back."""
+    return files.materialise(spark, corpus(spark, sf, FX.docs(spark, sf).transform(repaired)), "corpus")
+
+
+def study_rows(spark, sf, source=None, corp=None, carry=()):
+    """Rows that pass the keyword filter and are in a study language."""
+    rows = filtered(spark, sf, source, corp, (*carry, "order"))
+    found = language.detect_language(rows, *profile_table(spark, sf), key=list(ROW_KEY))
+    return language.filter_language(found).drop("detected")
+
+
+def study_table(spark, sf):
+    return files.materialise(spark, study_rows(spark, sf, corp=chain_corpus(spark, sf), carry=("doc_id",)),
+                             "study")
+
+
+@query
+def study_texts(spark, sf):
+    """Repair, cleaning, keyword filter and language filter, composed."""
+    return (study_rows(spark, sf, corp=chain_corpus(spark, sf), carry=("doc_id",))
+            .select("doc_id", "country", "domain", "url", "order", "keywords", "language", "text"))
+
+
 # ---- classes --------------------------------------------------------------------------------
 
-def scored(spark, sf, corp=None):
-    rows = (corpus(spark, sf) if corp is None else corp).select("doc_id", "country", "domain", "url", "text")
-    return classes.attach_scores(rows, wide(spark, sf))
+def scored(spark, sf, study=None):
+    rows = (study_table(spark, sf) if study is None else study)
+    return classes.attach_scores(rows.select("doc_id", "language", "country", "domain", "url", "text"),
+                                 wide(spark, sf))
 
 
 @query
 def attach_scores(spark, sf):
-    return scored(spark, sf).select("doc_id", "country", "domain", "token_1", "linprob_1")
+    return scored(spark, sf).select("doc_id", "language", "country", "domain", "token_1", "linprob_1")
 
 
 @query
@@ -368,8 +408,8 @@ def domain_class_counts(spark, sf):
     return classes.domain_class_counts(scored(spark, sf))
 
 
-def class_table(spark, sf, corp=None):
-    props = classes.domain_proportions(classes.domain_class_pivot(scored(spark, sf, corp)))
+def class_table(spark, sf, study=None):
+    props = classes.domain_proportions(classes.domain_class_pivot(scored(spark, sf, study)))
     return props.withColumn("ind_coll_prop", F.round("ind_coll_prop", 6))
 
 
@@ -437,7 +477,7 @@ MEANS = ["texts_all_mean_per_url", "texts_filtered_mean_per_url"]
 def url_coverage(spark, sf):
     errs = crawl.error_rows(routed(spark, sf))
     els = files.materialise(spark, elements(spark, sf), "elements")
-    return coverage.url_coverage(FX.urls(spark, sf), els, errs, filtered(spark, sf, els),
+    return coverage.url_coverage(FX.urls(spark, sf), els, errs, study_rows(spark, sf, els),
                                  rules(spark, sf))
 
 
@@ -446,25 +486,26 @@ def domain_coverage(spark, sf):
     return rounded(coverage.domain_coverage(url_coverage(spark, sf)), MEANS)
 
 
-def doc_coverage(spark, sf, corp=None):
+def doc_coverage(spark, sf, study):
     d = FX.docs(spark, sf)
     urls = d.select("url", "country").distinct()
     errs = crawl.error_rows(routed(spark, sf))
-    cov = coverage.url_coverage(urls, d, errs, filtered(spark, sf, corp=corp), rules(spark, sf))
+    cov = coverage.url_coverage(urls, d, errs, study, rules(spark, sf))
     return rounded(coverage.domain_coverage(cov), MEANS)
 
 
+def classified(spark, sf):
+    study = study_table(spark, sf)
+    return coverage.coverage_classes(doc_coverage(spark, sf, study), class_table(spark, sf, study))
+
+
 @query
 def coverage_classes(spark, sf):
-    corp = corpus(spark, sf)
-    return coverage.coverage_classes(doc_coverage(spark, sf, corp), class_table(spark, sf, corp))
+    return classified(spark, sf)
 
 
 def analysis(spark, sf):
-    corp = corpus(spark, sf)
-    return coverage.analysis_table(
-        coverage.coverage_classes(doc_coverage(spark, sf, corp), class_table(spark, sf, corp)),
-        fact_table(spark, sf))
+    return coverage.analysis_table(classified(spark, sf), fact_table(spark, sf))
 
 
 @query
@@ -476,7 +517,8 @@ def analysis_table(spark, sf):
 
 @query
 def stratified_sample(spark, sf):
-    c = corpus(spark, sf).select("doc_id", "country", "text", "domain", "url")
+    """Rows for hand coding, drawn from what the keyword filter keeps."""
+    c = filtered(spark, sf, carry=("doc_id",)).select("doc_id", "country", "text", "keywords", "domain", "url")
     return (sampling.stratified_sample(c, "country", "doc_id", SAMPLE_PER_COUNTRY, FX.SAMPLE_SEED)
             .withColumn("concept", F.lit("")))
 
@@ -515,3 +557,19 @@ def country_report(spark, sf):
     r = report.as_numeric(r, ["number"])
     r = report.null_if(r, ["number"], 0.0)
     return report.country_report(r, ["number"], ["flag"])
+
+
+# variables of the descriptive table, as they are listed in it
+REPORT_NUMBERS = ["urls_all_count", "texts_all_total", "urls_filtered_count", "texts_filtered_total",
+                  "student_size_n", "international_per", classes.COLLECTIVE, classes.INDIVIDUAL,
+                  "ind_coll_prop"]
+REPORT_FLAGS = ["elite", "private", "old"]
+
+
+@query
+def analysis_report(spark, sf):
+    """The descriptive table of the whole chain's result, by country and in total."""
+    r = analysis(spark, sf).withColumn("country_name", report.relabel_country(F.col("country")))
+    r = report.as_numeric(r, REPORT_NUMBERS)
+    r = report.null_if(r, ["urls_filtered_count", "texts_filtered_total"], 0.0)
+    return report.country_report(r, REPORT_NUMBERS, REPORT_FLAGS)

@@ -4,10 +4,11 @@ append-only result stores, and materialisation into the shared folder."""
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ..functions.text import strip_ws
 from ..session import scratch_path
@@ -18,20 +19,43 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
-             null_value: str | None = None) -> DataFrame:
-    """CSV with an explicit schema (no inference); quoted fields may span lines."""
+             null_value: str | None = None, empty_is_missing: bool = False) -> DataFrame:
+    """CSV with an explicit schema (no inference); quoted fields may span lines.
+    A schema column that is a partition folder is read from the folder's name, so
+    a filter on it prunes folders.  ``empty_is_missing`` makes empty text null."""
     r = spark.read.schema(schema).options(**CSV_OPTIONS).option("sep", sep)
     if null_value is not None:
         r = r.option("nullValue", null_value)
-    return r.csv(path)
-
-
-def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(**CSV_OPTIONS).option("sep", sep).csv(path)
+    df = r.csv(path)
+    if empty_is_missing:
+        text = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+        df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text})
+    return df
+
+
+def refuse_own_input(df: DataFrame, path: str) -> None:
+    """Raise if ``path`` holds files that ``df`` still has to read: to overwrite
+    it would delete them first.  Write to a new path instead."""
+    target = urlsplit(path).path.rstrip("/") + "/"
+    if any((unquote(urlsplit(f).path) + "/").startswith(target) for f in df.inputFiles()):
+        raise ValueError(f"{path} is an input of the table that is to be written there")
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite",
+              sort_by: list[str] | None = None, partition_by: list[str] | None = None) -> None:
+    """CSV output.  ``sort_by`` orders the whole output by a range partitioning
+    (the part files in name order are sorted); ``partition_by`` writes one folder
+    per value and should lead ``sort_by``."""
+    refuse_own_input(df, path)
+    w = (df.sort(*sort_by) if sort_by else df).write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.options(**CSV_OPTIONS).option("sep", sep).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                   partition_by: list[str] | None = None) -> None:
+    refuse_own_input(df, path)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
