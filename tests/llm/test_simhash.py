@@ -113,3 +113,28 @@ def test_keep_one(edge, sample):
         kept = s.keep_one(df)
         assert kept.schema == df.schema
         assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
+
+
+def test_keep_one_without_ids_and_with_repeated_ids(spark):
+    """Each component keeps one row, whatever its ids are."""
+    words = "ab cd ef gh ij kl mn op qr st uv wx yz".split()
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{words[j]}{i}" for j in rng.integers(0, len(words), 30)) for i in range(14)]
+    near = texts[0] + " " + texts[0]       # the same shingles but a few
+    while s.simhash(near) != s.simhash(texts[0]) and (s.simhash(near) ^ s.simhash(texts[0])).bit_count() > 4:
+        near += " " + texts[0]
+    rows = [(None, t) for t in texts[2:10]] + [(None, texts[2])]          # unrelated, without ids; one twice
+    rows += [(1, texts[0]), (5, near), (5, texts[1])]                     # 5: a near copy of 1, and a text of its own
+    rows += [(7, texts[10]), (7, texts[11]), (7, texts[11]), (None, texts[11])]
+    rows += [(-2 ** 63, texts[12]), (None, texts[13]), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    got = [(r.doc_id, r.text or "") for r in s.keep_one(df).collect()]
+    want = [(None, t) for t in texts[2:10]] + [(1, texts[0]), (5, texts[1]), (7, texts[10]), (7, texts[11]),
+                                               (-2 ** 63, texts[12]), (None, texts[13]), (None, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_keep_one_deals_repeats_out_once(spark, sample):
+    """Repeats are dropped before the texts are exchanged, and the join needs no other exchange."""
+    plan = s.keep_one(sample)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Join") < plan.index("Window")

@@ -30,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, on_workers, plain, saved
+from .common import on_workers, plain, saved
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEGMENTS, SEED = 4, 4, 3, 42
@@ -62,16 +62,27 @@ def simhash(text: str, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: fp as a signed long, row by row."""
+def row_key() -> Column:
+    """128 bits of a row's id and text; a null id is none of the others, a null text is empty."""
+    parts = [F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"),
+             F.coalesce(F.col("text"), F.lit(""))]
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
+def fingerprints(docs: DataFrame, k: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """``doc_id, fp``, with ``keyed`` also ``key``: fp as a signed long, row by row."""
     on_workers(docs.sparkSession)
+    rows = plain(docs.select("doc_id", "text"))
+    if keyed:
+        rows = rows.withColumn("key", row_key())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(t, k) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]],
+                                             ["doc_id", "fp", "key"][:b.num_columns])
 
-    return plain(docs).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", key binary" * keyed)
 
 
 def segment_widths(segments: int) -> list[tuple[int, int]]:
@@ -228,14 +239,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, ho
     return _matched(dealt, max_bits)
 
 
+def _rooted(classes: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """``classes``, a row per fingerprint ``fp``, and ``root``: the least
+    fingerprint of its component, which is there without any ``doc_id``."""
+    roots = saved(connected_components(links(classes, max_bits, segments)), "simhash-roots")
+    return classes.join(roots, classes.fp == roots.node, "left") \
+        .select(*[classes[c] for c in classes.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest ``doc_id`` that
     is reachable over links, its own included."""
     own = saved(fingerprints(docs, k), "simhash")
     classes = saved(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = saved(connected_components(links(classes, max_bits, segments)), "simhash-roots")
-    rooted = classes.join(roots, classes.fp == roots.node, "left") \
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(classes, max_bits, segments)
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # only classes that lie in a component of several need the second join
     named = rooted.join(of_root, "root").select("fp", "component_id")
@@ -243,13 +260,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS,
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without all but one
-    document of each component: the one with the smallest ``doc_id``; of repeated
-    rows with that id one stays, and so does one of a component without ids."""
-    found = near_duplicates(docs, k, max_bits, segments)
-    firsts = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .select(id_key().alias("__id")).distinct())
-    # the join and the window share one key, so that texts are dealt out once
-    kept = docs.withColumn("__id", id_key()).join(firsts, "__id", "left_semi")
-    order = Window.partitionBy("__id").orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__id")
+    """The rows of ``docs``, all columns as they are, without all but one row of
+    each component: the one with the smallest ``doc_id``, a null id last, then
+    the smallest hash of id and text; of exact repeats of that row one stays.
+    Rows with one id, or without, and unlike texts lie in components of their own."""
+    own = fingerprints(docs, k, keyed=True)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = saved(own.groupBy("fp").agg(F.min(order).alias("least")), "simhash-classes")
+    firsts = _rooted(classes, max_bits, segments).groupBy("root").agg(F.min("least").alias("least")) \
+        .select(F.col("least.key").alias("__key"))
+    # repeats go before the exchange of the texts (WindowGroupLimit); the join, whose keys are
+    # distinct, uses the same exchange, and is no semi-join, as that would move below the window
+    repeats = Window.partitionBy("__key").orderBy(F.col("text").isNotNull())
+    single = docs.withColumn("__key", row_key()).withColumn("__n", F.row_number().over(repeats)).filter("__n = 1")
+    return single.join(firsts, "__key").select(*docs.columns)
