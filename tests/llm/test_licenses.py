@@ -121,3 +121,31 @@ def test_query(spark):
     got = sorted((r.doc_id, r.start, r.end, r.license) for r in op8_license_compression(spark, folder).collect())
     docs = spark.read.parquet(folder + "/documents.parquet").where("text ilike '%licen%'").collect()
     assert got == sorted((d.doc_id, *h) for d in docs for h in brute(d.text)) and got
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+THIRD = """
+* Neither the name of Acme Corp. nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("text,names", [
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("The code is available under the MIT License.", ["MIT"]),
+    ("It is made available under an ISC License", ["ISC"]),
+    ("// SPDX-License-Identifier: MIT\nint main", ["MIT"]),
+    ("# SPDX-License-Identifier: MIT-0\nimport os", ["MIT-0"]),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */", ["GPL-2.0-or-later"]),
+    ("Licensed under the Apache Software License, Version 2.0", ["Apache-2.0"]),
+    ("Not under the MIT License. MIT-style license. Licensed under a modified MIT License.", []),
+    ("Licensed under the GNU Free Documentation License, version 3", []),
+    (BSD, ["BSD-2-Clause"]), (BSD + THIRD, ["BSD-3-Clause"]),
+    (BSD.replace("* ", "1. ", 1).replace("* ", "2. "), ["BSD-2-Clause"]),
+])
+def test_notices_as_people_write_them(text, names):
+    assert [f.license for f in SCAN.scan("Erouthst ateded stouing hewh. " + text)] == names

@@ -6,16 +6,18 @@ sentence; whole license texts).  A block is compressed alone and with each
 template of its class as a raw zstandard dictionary.  Templates that save at
 least ``SHARE`` of what they save on themselves are tried in order of their
 savings, and confirmed by an exact word alignment: at most ``TOLERANCE`` of the
-template's words may be missing, changed or inserted, and none of them may be a
-number or a word that tells licenses apart.
+template's words, and one in a short notice, may be missing, changed or inserted,
+and none of them may be a number or a word that tells licenses apart.  The numbers
+of a wording's list may be missing or be other signs.
 
 A document with more anchors has more blocks; none is capped.  The words of an
 overlong block are cut into windows that overlap by the longest template.
 
 Defined results: one row per license found, in code points of the whole text;
 null and empty texts and texts without an anchor give no row; repeated rows
-give theirs each; of overlapping findings the one that saves most stays, on
-ties the first, then the longer; an empty table gives no rows.
+give theirs each; of overlapping findings the one with the most words confirmed,
+less its differences, stays, on ties the one that saves most, then the first, then
+the longer; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ _SETTING = zstandard.ZstdCompressionParameters(
     strategy=zstandard.STRATEGY_BTOPT, write_content_size=False)
 #: Templates of at most so many words are notices.
 NOTICE_WORDS = 16
+#: The number before an entry of a wording's list.
+_LIST_NUMBER = re.compile(r"[.:]\s+(\d)\.\s")
 _WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
 #: Looked for in a text's words, joined by spaces.
 ANCHOR = re.compile(r"licen[sc]|permission|redistribution|public domain|creative commons|cc (?:by|0)")
@@ -51,7 +55,8 @@ NATIVE_ANCHOR = (r"(?iu)licen[sc]|permission|redistribution|public[\W_]+domain|c
                  r"|cc[\W_]+by|cc[\W_]*0")
 #: A difference in one of these words, or in a number, makes another license.
 TELLING = frozenset("""by sa nc nd attribution noncommercial sharealike noderivatives noderivs mit apache bsd isc
-mozilla gpl lgpl agpl gnu lesser library affero boost zlib unlicense public domain not clause""".split())
+mozilla gpl lgpl agpl gnu lesser library affero boost zlib unlicense public domain not clause
+style like modified variant""".split())
 
 # License names, the sentences that carry them, and standard wordings.
 NAMES = {
@@ -78,7 +83,17 @@ NAMES = {
                         "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
 }
 SENTENCES = ["licensed under {}", "licensed under the {}", "released under the {}", "under the terms of the {}",
-             "distributed under the {}"]
+             "distributed under the {}", "available under the {}", "subject to the terms of the {}",
+             "governed by the {}", "covered by the {}"]
+#: Identifiers that stand in SPDX lines beside the names of ``NAMES``.
+SPDX = {
+    "GPL-2.0": ["GPL-2.0-only"], "GPL-2.0-or-later": ["GPL-2.0-or-later"],
+    "GPL-3.0": ["GPL-3.0-only"], "GPL-3.0-or-later": ["GPL-3.0-or-later"],
+    "LGPL-2.1": ["LGPL-2.1-only"], "LGPL-2.1-or-later": ["LGPL-2.1-or-later"],
+    "LGPL-3.0": ["LGPL-3.0-only"], "LGPL-3.0-or-later": ["LGPL-3.0-or-later"],
+    "AGPL-3.0": ["AGPL-3.0-only"], "AGPL-3.0-or-later": ["AGPL-3.0-or-later"],
+    "MIT-0": ["MIT-0"], "BSD-4-Clause": ["BSD-4-Clause"], "Zlib": ["Zlib"], "Unlicense": ["Unlicense"],
+}
 WORDINGS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
         associated documentation files (the "Software"), to deal in the Software without restriction, including
@@ -105,6 +120,22 @@ WORDINGS = {
         copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
         reproduce the above copyright notice, this list of conditions and the following disclaimer in the
         documentation and/or other materials provided with the distribution.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright
+        holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.""",
+    "BSD-4-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning
+        features or use of this software must display the following acknowledgement: This product includes software
+        developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors
+        may be used to endorse or promote products derived from this software without specific prior written
+        permission.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
         MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Zlib": """Permission is granted to anyone to use this software for any purpose, including commercial
@@ -116,9 +147,11 @@ WORDINGS = {
 
 
 def default_templates() -> list[tuple[str, str]]:
-    """(license, wording) pairs: every name in every sentence, and the wordings."""
+    """(license, wording) pairs: every name in every sentence, SPDX lines, and the wordings."""
     short = [(k, s.format(n)) for k, names in NAMES.items() for n in names for s in SENTENCES]
-    return short + list(WORDINGS.items())
+    lines = [(k, f"SPDX-License-Identifier: {n}") for k, names in [*((k, [k]) for k in NAMES), *SPDX.items()]
+             for n in names]
+    return short + lines + list(WORDINGS.items())
 
 
 class Found(NamedTuple):
@@ -149,9 +182,11 @@ _ALONE = compressor(bytes(range(0xF8, 0x100)) * 4)
 
 class Template:
     def __init__(self, name: str, wording: str) -> None:
-        self.name, self.words = name, words_of(wording)[0]
-        self.tolerance = int(TOLERANCE * len(self.words))
-        self.telling = set(filter(telling, self.words))
+        self.words, starts, _ = words_of(wording)
+        self.name, self.tolerance = name, max(1, int(TOLERANCE * len(self.words)))
+        marks = {m.start(1) for m in _LIST_NUMBER.finditer(wording)}
+        self.telling_at = {i for i, (w, at) in enumerate(zip(self.words, starts)) if telling(w) and at not in marks}
+        self.telling = {self.words[i] for i in self.telling_at}
         data = " ".join(self.words).encode()
         self.press = compressor(data)
         self.least = SHARE * (len(_ALONE.compress(data)) - len(self.press.compress(data)))
@@ -172,19 +207,19 @@ def align(template: list[str], words: list[str]) -> np.ndarray:
     return d
 
 
-def _trace(d: np.ndarray, template: list[str], words: list[str], end: int) -> tuple[int, list[str], list[str]]:
-    """Begin, template words missing and block words added on the way to ``end``."""
+def _trace(d: np.ndarray, template: list[str], words: list[str], end: int) -> tuple[int, list[int], list[str]]:
+    """Begin, places of template words missing and block words added on the way to ``end``."""
     i, j, missing, added = len(template), end, [], []
     while i:
         same = j > 0 and template[i - 1] == words[j - 1]
         if j and d[i, j] == d[i - 1, j - 1] + (not same):
             i, j = i - 1, j - 1
             if not same:
-                missing.append(template[i])
+                missing.append(i)
                 added.append(words[j])
         elif d[i, j] == d[i - 1, j] + 1:
             i -= 1
-            missing.append(template[i])
+            missing.append(i)
         else:
             j -= 1
             added.append(words[j])
@@ -204,16 +239,17 @@ def occurrences(t: Template, words: list[str], present: set[str]) -> Iterator[tu
     last, taken = d[-1], []
     for end in sorted(np.flatnonzero(last <= t.tolerance).tolist(), key=lambda e: (last[e], e)):
         begin, missing, added = _trace(d, t.words, words, end)
-        if begin < end and not any(map(telling, missing + added)) and all(e <= begin or b >= end for b, e in taken):
+        if begin < end and t.telling_at.isdisjoint(missing) and not any(map(telling, added)) \
+                and all(e <= begin or b >= end for b, e in taken):
             taken.append((begin, end))
-            yield begin, end, missing, added
+            yield begin, end, [t.words[i] for i in missing], added
 
 
-def disjoint(found: list[Found]) -> list[Found]:
-    """The findings that save most, without overlap, by place."""
+def disjoint(found: list[tuple[int, Found]]) -> list[Found]:
+    """The findings with the most words confirmed, given before each, without overlap, by place."""
     kept: list[Found] = []
     starts: list[int] = []
-    for f in sorted(found, key=lambda f: (-f.gain, f.start, -f.end, f.differences, f.license)):
+    for _, f in sorted(found, key=lambda x: (-x[0], -x[1].gain, x[1].start, -x[1].end, x[1].differences, x[1].license)):
         at = bisect_left(starts, f.end)      # kept findings before this place begin before ``f`` ends
         if not at or kept[at - 1].end <= f.start:
             starts.insert(at, f.start)
@@ -245,7 +281,8 @@ class Scanner:
             for low, high, first, stop in blocks(marks, reach, len(words)):
                 for f in self._block(group, words[low:high]):
                     if first <= low + f.start < stop:
-                        found.append(f._replace(start=starts[low + f.start], end=ends[low + f.end - 1]))
+                        confirmed = f.end - f.start - len(f.added) - f.differences
+                        found.append((confirmed, f._replace(start=starts[low + f.start], end=ends[low + f.end - 1])))
         return disjoint(found)
 
     @staticmethod
