@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from webtext.llm import lm
-from webtext.llm.eliasfano import EliasFano, MappedTrie, quantise, restore
+from webtext.llm.eliasfano import EliasFano, MappedTrie, decades, quantise, restore
 
 
 def test_elias_fano():
@@ -86,3 +86,27 @@ def test_empty_and_untrained(spark, none):
 def test_beats_words_alone_on_held_out_text(sample):
     rows = [r for r in lm.score(sample).collect() if r.held_out]
     assert len(rows) > 15 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_codes_of_rare_pairs_round_down():
+    p = 10.0 ** np.linspace(-11, 0, 700)
+    reach = decades(p)
+    r = restore(quantise(p, reach), reach)
+    assert (r <= p * (1 + 1e-9)).all() and (r > p * 0.9).all()
+    assert (restore(quantise(p)) <= p * (1 + 1e-9)).all()
+    assert decades(np.array([0.5])) == 8.0 and decades(np.array([])) == 8.0
+
+
+def test_a_pair_seen_once_after_a_very_frequent_word():
+    """c(h) of 3e8 tokens, as at 30 GB, comes with the hot words."""
+    import pyarrow as pa
+    numbers = {w: i for i, w in enumerate([b"hot", b"rare", None])}
+    batch = lm._chunk([1], [False], [3], numbers, [np.array([0, 1, 2], "<u4")])
+    word = lm.xxhash.xxh64_intdigest(b"hot", 0)
+    layout = lm.Layout(batch.to_pylist()[0], np.array([word], np.uint64), 1)
+    t = pa.table({"chunk": ["c"], **{n: pa.array([x], pa.binary()) for n, x in zip(lm._MESSAGE, layout.message(0))}})
+    hot = {int(np.array([word], np.uint64).view(np.int64)[0]): 3 * 10 ** 8}
+    (_, _, _, codes, reach, *_), = lm.answer(t, hot, 0)
+    got = restore(np.frombuffer(codes, np.uint8), reach)[layout.of_shard(0)[1].argsort()]
+    first = layout.vocabulary[layout.first] == word
+    assert 0.9 * 0.25 / 3e8 < got[first][0] <= 0.25 / 3e8

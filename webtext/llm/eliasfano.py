@@ -94,16 +94,23 @@ class EliasFano:
 
 
 #: Probabilities are kept as 8-bit codes, even steps of their logarithm; 0: none.
+#: The codes reach ``RANGE`` decades down, or as far as :func:`decades` says.
 STEPS, RANGE = 254, 8.0
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    """Codes 1..255, rounded down, so that a context's sum does not pass 1."""
-    return np.clip(np.floor((np.log10(p) + RANGE) / RANGE * STEPS) + 1, 1, 255).astype(np.uint8)
+def decades(p: np.ndarray) -> float:
+    """The range of codes that reaches the least of ``p``, by hundredths."""
+    return max(RANGE, float(np.ceil(-100 * np.log10(p.min()) + 1e-6)) / 100) if len(p) else RANGE
 
 
-def restore(codes: np.ndarray) -> np.ndarray:
-    table = 10.0 ** ((np.arange(256) - 1) / STEPS * RANGE - RANGE)
+def quantise(p: np.ndarray, reach: float = RANGE) -> np.ndarray:
+    """Codes 1..255, rounded down, so that a context's sum does not pass 1; what
+    lies below the range has code 0."""
+    return np.clip(np.floor((np.log10(p) + reach) / reach * STEPS) + 1, 0, 255).astype(np.uint8)
+
+
+def restore(codes: np.ndarray, reach: float = RANGE) -> np.ndarray:
+    table = 10.0 ** ((np.arange(256) - 1) / STEPS * reach - reach)
     table[0] = 0.0
     return table[codes]
 
@@ -113,24 +120,25 @@ class Trie:
     place where each word's children begin.  Level 2: the children, each stored
     relative to its context as ``context number * 2**CHILD_BITS + hash``, which
     makes the whole level one monotone sequence; beside it the codes of their
-    smoothed probabilities.  The levels lie in one file, mapped into memory."""
+    smoothed probabilities.  The levels lie in one file, mapped into memory; its
+    header holds the range of the codes."""
 
     CHILD_BITS = 40
 
     @classmethod
     def write(cls, path: str, words: np.ndarray, counts: np.ndarray, begin: np.ndarray,
-              children: np.ndarray, codes: np.ndarray) -> None:
+              children: np.ndarray, codes: np.ndarray, reach: float = RANGE) -> None:
         parts = [EliasFano.encode(words), counts.astype("<u8").tobytes(), EliasFano.encode(begin),
                  EliasFano.encode(children), codes.astype(np.uint8).tobytes()]
         with open(path, "wb") as f:
-            f.write(struct.pack("<5Q", *map(len, parts)))
+            f.write(struct.pack("<5Qd", *map(len, parts), reach))
             for p in parts:
                 f.write(p)
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, np.uint8, "r")
-        sizes = struct.unpack("<5Q", raw[:40].tobytes())
-        ends = np.cumsum([40, *sizes])
+        *sizes, self.reach = struct.unpack("<5Qd", raw[:48].tobytes())
+        ends = np.cumsum([48, *sizes])
         a, b, c, d, e = (raw[x:y] for x, y in zip(ends, ends[1:]))
         self.words, self.counts, self.begin = EliasFano(a), np.frombuffer(b.tobytes(), "<u8"), EliasFano(c)
         self.children, self.codes = EliasFano(d), e
@@ -157,13 +165,13 @@ class Trie:
 class MappedTrie:
     """A trie in a scratch file of this task, gone when the block ends."""
 
-    def __init__(self, *levels: np.ndarray) -> None:
-        self.levels = levels
+    def __init__(self, *levels: np.ndarray, reach: float = RANGE) -> None:
+        self.levels, self.reach = levels, reach
 
     def __enter__(self) -> Trie:
         fd, self.path = tempfile.mkstemp(suffix=".trie")
         os.close(fd)
-        Trie.write(self.path, *self.levels)
+        Trie.write(self.path, *self.levels, self.reach)
         return Trie(self.path)
 
     def __exit__(self, *_) -> None:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import on_workers, partitions, plain, saved
-from .eliasfano import MappedTrie, Trie, quantise, restore
+from .eliasfano import MappedTrie, Trie, decades, quantise, restore
 
 DISCOUNT = 0.75
 #: Tokens of a chunk; a longer document is a chunk of its own.
@@ -190,7 +190,7 @@ def hot_words(parts: DataFrame, share: int = HOT) -> dict[int, int]:
 
 def answer(t: pa.Table, hot: dict[int, int], shard: int) -> Iterator[tuple]:
     """Build the shard's trie from all of its messages; answer each of them.
-    Yields (chunk, word counts, children counts, pair codes) and, in the first
+    Yields (chunk, word counts, children counts, pair codes, their range) and, in the first
     row, what is told once per shard: distinct words, hot contexts, their children."""
     messages = [_Message(*row) for row in zip(*(t.column(c).to_pylist() for c in _MESSAGE))]
     words, at = np.unique(np.concatenate([m.words for m in messages]), return_inverse=True)
@@ -214,11 +214,13 @@ def answer(t: pa.Table, hot: dict[int, int], shard: int) -> Iterator[tuple]:
     told = (int((counts > 0).sum()), words[split].view(np.int64).tolist(),
             (begin[split + 1] - begin[split]).tolist())
     names = t.column("chunk").to_pylist()
-    with MappedTrie(words, counts, begin, key, quantise(np.maximum(p, 1e-30))) as trie:
+    reach = decades(p)       # 0.25 / c(h) or more: grows with the counts, so no code is rounded up
+    with MappedTrie(words, counts, begin, key, quantise(p, reach), reach=reach) as trie:
         for i, (name, m) in enumerate(zip(names, messages)):
             number = trie.find(m.words)
             yield (name, trie.counts[number].astype("<u8").tobytes(), trie.n_children(number).astype("<u4").tobytes(),
-                   trie.child_codes(number[m.context], m.children).tobytes(), *(told if i == 0 else (0, [], [])))
+                   trie.child_codes(number[m.context], m.children).tobytes(), trie.reach,
+                   *(told if i == 0 else (0, [], [])))
 
 
 def score(docs: DataFrame, held=held_out, size: int = CHUNK, hot_share: int = HOT) -> DataFrame:
@@ -245,12 +247,12 @@ def score(docs: DataFrame, held=held_out, size: int = CHUNK, hot_share: int = HO
         cols = list(zip(*answer(t, hot_counts, shard)))
         return pa.table({"chunk": pa.array(cols[0]), "shard": pa.array([shard] * len(cols[0]), pa.int32()),
                          **{n: pa.array(c, pa.binary()) for n, c in zip(("counts", "followers", "codes"), cols[1:4])},
-                         "distinct": pa.array(cols[4], pa.int64()),
-                         "hot": pa.array(cols[5], pa.list_(pa.int64())), "hot_n": pa.array(cols[6], pa.list_(pa.int64()))})
+                         "reach": pa.array(cols[4], pa.float64()), "distinct": pa.array(cols[5], pa.int64()),
+                         "hot": pa.array(cols[6], pa.list_(pa.int64())), "hot_n": pa.array(cols[7], pa.list_(pa.int64()))})
 
     sent = parts.mapInArrow(send, "shard int, chunk string, " + ", ".join(f"{n} binary" for n in _MESSAGE))
     replies = saved(sent.groupBy("shard").applyInArrow(
-        reply, "chunk string, shard int, counts binary, followers binary, codes binary, distinct long, "
+        reply, "chunk string, shard int, counts binary, followers binary, codes binary, reach double, distinct long, "
                "hot array<long>, hot_n array<long>"), "lm-answers")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,19 +271,19 @@ def score(docs: DataFrame, held=held_out, size: int = CHUNK, hot_share: int = HO
         layout = Layout(row, hot, shards)
         c = np.zeros(len(layout.vocabulary), np.int64)
         followers = np.zeros(len(layout.vocabulary), np.int64)
-        codes = np.zeros(len(layout.first), np.uint8)
+        seen_p = np.zeros(len(layout.first))
         for a in answers.to_pylist():
             words, pairs = layout.of_shard(a["shard"])
             own = layout.home[words] == a["shard"]
             c[words[own]] = np.frombuffer(a["counts"], "<u8")[own]
             followers[words[own]] = np.frombuffer(a["followers"], "<u4")[own]
-            codes[pairs] = np.frombuffer(a["codes"], np.uint8)
+            seen_p[pairs] = restore(np.frombuffer(a["codes"], np.uint8), a["reach"])
         for i in np.flatnonzero(layout.is_hot):
             followers[i] = hot_followers.get(int(layout.vocabulary.view(np.int64)[i]), 0)
         word_p = (c + 1) / (n_tokens + n_words + 1)
         # a context without training tokens leaves all its mass to the words
         back = np.where(c > 0, DISCOUNT * followers / np.maximum(c, 1), 1.0)
-        pair_p = restore(codes) + back[layout.first] * word_p[layout.second]
+        pair_p = seen_p + back[layout.first] * word_p[layout.second]
         starts = np.cumsum(layout.lengths) - layout.lengths
         add = lambda x: np.add.reduceat(x, starts)
         return pa.table({
@@ -291,6 +293,6 @@ def score(docs: DataFrame, held=held_out, size: int = CHUNK, hot_share: int = HO
             "base_score": pa.array(add(np.log10(word_p)[layout.tokens])),
             "score": pa.array(add(np.log10(pair_p)[layout.pair_of_token]))})
 
-    return (parts.groupBy("chunk").cogroup(replies.select("chunk", "shard", "counts", "followers", "codes").groupBy("chunk"))
+    return (parts.groupBy("chunk").cogroup(replies.select("chunk", "shard", "counts", "followers", "codes", "reach").groupBy("chunk"))
             .applyInArrow(result, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                   "base_score double, score double"))
