@@ -22,7 +22,7 @@ from array import array
 from functools import lru_cache
 from itertools import islice
 
-LIMIT = 1_200_000
+LIMIT = 500_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"[ \n!\"#$%&()*+,./:;<=>?@\[\]^_`{|}~-]"
 _BYTE = re.compile(rf" ?[{_LETTERS}]+(?={_MARK}|\Z)|\n(?=[{_LETTERS}])|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
