@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpacking, fingerprints, licenses, lines, lm, packing, pieces, quality, rules, simhash, tokenfiles
+from . import (binpacking, fingerprints, licenses, lines, lm, negatives, packing, pieces, quality, rules, simhash,
+               spelling, tokenfiles)
 from .common import documents
 
 
@@ -69,10 +70,20 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_shared_list_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.quantised(rows.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
 def op12_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpacking.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), "byte")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -81,5 +92,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lz_fingerprints, op2_hilbert_packing, op3_line_dedup, op4_token_files,
                             op5_quadratic_discriminant, op6_line_first_rules, op7_elias_fano_lm,
-                            op8_license_compression, op9_streaming_viterbi, op10_simhash_groups, op12_grouping_packing,
-                            pipeline)}
+                            op8_license_compression, op9_streaming_viterbi, op10_simhash_groups, op11_shared_list_negatives,
+                            op12_grouping_packing, op13_spelling_variants, pipeline)}
