@@ -84,7 +84,7 @@ def test_line_rules(spark):
     menu = "\n".join(f"a{i} | b{i} | c{i} | d{i}" for i in range(60))
     df = spark.createDataFrame([(1, many), (2, many + "\n" + menu), (3, many + "\nHome")], "doc_id long, text string")
     verdict = {x.doc_id: x.kept for x in r.judge(df).collect()}
-    assert verdict == {1: False, 2: False, 3: False} or verdict[1] == verdict[3]
+    assert verdict == {1: False, 2: False, 3: False}      # one sentence eight times
 
 
 def test_rejects_by_lost_text_only(spark):

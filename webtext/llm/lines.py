@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import NULL_ID, WS_BYTES, id_key, on_workers, partitions, plain, saved
 from .phash import PerfectHash, mix
@@ -203,24 +204,25 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, ``text`` without the dropped lines and
     ``n_chars``, where there is one, as its new length.  A null text stays null."""
     on_workers(docs.sparkSession)
-    drops = lines_to_drop(plain(docs)).withColumnsRenamed({"id": "__id", "drop": "__drop"})
-    joined = docs.withColumn("__key", id_key()).join(drops.hint("shuffle_hash"), F.col("__key") == F.col("__id"), "left") \
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "__drop")
-    names, at = docs.columns, docs.columns.index("text")
+    # a user's row stays in one column: its names cannot meet those used here
+    rows = docs.select(id_key().alias("id"), F.struct("*").alias("row"))
+    joined = rows.join(lines_to_drop(plain(docs)).hint("shuffle_hash"), "id", "left").select("row", "drop")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for text, drop in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                if drop and text:
-                    drop = set(drop)
-                    text = "\n".join(x for x, h in zip(text.split("\n"), line_hashes(text)) if h not in drop)
-                texts.append(text)
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    out = joined.mapInArrow(run, docs.schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):      # no more texts than these are Python objects at once
+                b = whole.slice(start, 1024)
+                fields, texts = b.column(0).flatten(), []
+                for text, drop in zip(fields[at].to_pylist(), b.column(1).to_pylist()):
+                    if drop and text:
+                        drop = set(drop)
+                        text = "\n".join(x for x, h in zip(text.split("\n"), line_hashes(text)) if h not in drop)
+                    texts.append(text)
+                fields[at] = pa.array(texts, fields[at].type)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(b.column(0).type))], ["row"])
+
+    out = joined.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

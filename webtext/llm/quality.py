@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import on_workers, plain
 
@@ -179,9 +180,11 @@ def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
-            if b.num_rows:
-                x = np.array([statistics(t or "") for t in b.column(at).to_pylist()])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):      # no more texts than these are Python objects at once
+                b = whole.slice(start, 1024)
+                x = np.array([statistics(t or "") for t in b.column(0).field(at).to_pylist()])
                 yield b.filter(pa.array(model.scores(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    whole_row = docs.select(F.struct("*").alias("row"))      # whatever its names are
+    return whole_row.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")

@@ -268,9 +268,10 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, segmen
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = saved(own.groupBy("fp").agg(F.min(order).alias("least")), "simhash-classes")
     firsts = _rooted(classes, max_bits, segments).groupBy("root").agg(F.min("least").alias("least")) \
-        .select(F.col("least.key").alias("__key"))
+        .select(F.col("least.key").alias("key"))
     # repeats go before the exchange of the texts (WindowGroupLimit); the join, whose keys are
     # distinct, uses the same exchange, and is no semi-join, as that would move below the window
-    repeats = Window.partitionBy("__key").orderBy(F.col("text").isNotNull())
-    single = docs.withColumn("__key", row_key()).withColumn("__n", F.row_number().over(repeats)).filter("__n = 1")
-    return single.join(firsts, "__key").select(*docs.columns)
+    repeats = Window.partitionBy("key").orderBy("worded")
+    keyed = docs.select(row_key().alias("key"), F.col("text").isNotNull().alias("worded"), F.struct("*").alias("row"))
+    single = keyed.withColumn("n", F.row_number().over(repeats)).filter("n = 1")
+    return single.join(firsts, "key").select("row.*")
