@@ -7,7 +7,6 @@ body needs, in dependency order.
 
 from __future__ import annotations
 
-from webtext.functions import html as H
 from webtext.plans import fixtures as FX
 
 # Unicode White_Space, spelled out for RE2 (whose \s is ASCII only).
@@ -22,14 +21,15 @@ def collapse_ws(x: str) -> str:
     return f"trim(regexp_replace({x}, {q(WS + '+')}, ' ', 'g'))"
 
 
-# The references that occur in the driver's pages; ``&amp;`` goes last so that an
+# The references that occur in the test pages; ``&amp;`` goes last so that an
 # escaped entity is not decoded twice.
 ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
     ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
     ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"),
     ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&euro;", "€"), ("&amp;", "&"),
+    ("&euro;", "€"), ("&comma;", ","), ("&#0000000228;", "ä"), ("&#150;", "–"), ("&#x92", "’"),
+    ("&auml;", "ä"), ("&auml", "ä"), ("&nbsp", " "), ("&notit;", "¬it;"), ("&amp;", "&"),
 ]
 
 
@@ -45,40 +45,92 @@ def pick(values, idx: str) -> str:
     return f"(CASE {parts} END)"
 
 
-def _keep_pattern() -> str:
-    return r"(?i)<(" + "|".join(H.KEEP_TAGS) + r")(?:\s[^>]*)?>"
+# Tags and what is dropped, written for RE2.  A quoted value may hold a ">".
+_MARKUP = (r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))"
+           r"|<script(?:[\s/][^>]*)?>(?:.*?</script(?:[\s/][^>]*)?>|.*)|<style(?:[\s/][^>]*)?>(?:.*?</style(?:[\s/][^>]*)?>|.*)"
+           r"|<title(?:[\s/][^>]*)?>.*?</title(?:[\s/][^>]*)?>"
+           r"""|</?[a-z](?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*(?:>|\z)|<[!?][^>]*(?:>|\z)|</[^a-z>][^>]*(?:>|\z)|</>""")
+_CONTAINERS = ("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+               "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary ul table caption tbody thead tfoot "
+               "tr td th").split()
+_LEAST_PARAGRAPH = 150
 
 
 def _elements_sql(src: str) -> str:
     """Extraction of p/h1/h2/h3 + title from ``src(page_id, url, html, ...)``
-    into one row per element, written with unnest + windows (not arrays)."""
-    start, sep, stop = "\u0001", "\u0002", "\u0003"
+    into one row per element.  The stack of open elements is a path of
+    ``/name:position`` that one recursive step per tag rewrites."""
+    before = lambda path, pattern: f"regexp_extract({path}, {q('^(.*)' + pattern)}, 1)"
+    matches = lambda path, pattern: f"regexp_matches({path}, {q(pattern)})"
+    no_barrier = lambda path, kept: f"NOT {matches(f'substr({path}, length({kept}) + 1)', '/(?:table|caption|td|th):')}"
+    item = r":\d+(?:/(?:address|div|p):\d+)*$"
+    back_to = lambda names: f"regexp_extract(path, {q(f'^.*/(?:{names}):' + chr(92) + 'd+')})"
+    rows, sections = "tr|tbody|thead|tfoot|table", "tbody|thead|tfoot|table"
+    same = "regexp_extract(path, '^(.*)/' || name || ':\\d+', 1)"
     return f"""
-    (WITH c AS (
-        SELECT *, regexp_replace(html, {q(H.DROP_PATTERN)}, ' ', 'g') AS clean FROM {src}),
-     p AS (
-        SELECT *, string_split(
-            regexp_replace(regexp_replace(regexp_replace(clean, {q(_keep_pattern())},
-                {q(start + chr(92) + '1' + sep)}, 'g'),
-                {q(H.BLOCK_PATTERN)}, {q(stop)}, 'g'), {q(H.TAG_PATTERN)}, ' ', 'g'),
-            {q(start)}) AS pieces,
-            regexp_extract(clean, {q(H.TITLE_PATTERN)}, 1) AS raw_title
-        FROM c),
+    (WITH RECURSIVE c AS (
+        SELECT * EXCLUDE (html), coalesce(html, '') AS h FROM {src}),
+     m AS (
+        SELECT *, regexp_extract_all(h, {q(_MARKUP)}) AS tags, string_split_regex(h, {q(_MARKUP)}) AS parts FROM c),
+     g AS (
+        SELECT page_id, unnest(range(1, len(tags) + 1)) AS k, unnest(tags) AS tag, unnest(parts[2:]) AS part,
+        FROM m),
+     named AS (
+        SELECT page_id, k, part, lower(regexp_extract(tag, {q(r'^<(/?[a-zA-Z][^' + chr(92) + 's/>]*)')}, 1)) AS name FROM g),
+     tok AS (
+        SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS i FROM named
+        WHERE ltrim(name, '/') IN ({', '.join(map(q, _CONTAINERS))})),
+     fold AS (
+        SELECT page_id, 0::BIGINT AS i, 0::BIGINT AS k, '' AS open, '' AS closed FROM c
+        UNION ALL
+        SELECT page_id, i, k, stays || CASE WHEN starts_with(name, '/') OR name = 'hr' THEN '' ELSE '/' || name || ':' || k END,
+               substr(path, length(stays) + 1)
+        FROM (SELECT page_id, i, k, name, path, CASE
+                WHEN NOT opens THEN keeps
+                WHEN {matches('name', '^h[1-6]$')} THEN regexp_replace(keeps, {q('/h[1-6]:' + chr(92) + 'd+$')}, '')
+                ELSE keeps END AS stays
+              FROM (SELECT *, CASE
+                      WHEN opens AND {matches('less', '/p:')} AND {no_barrier('less', before('less', '/p:'))}
+                      THEN {before('less', '/p:')} ELSE less END AS keeps
+                    FROM (SELECT page_id, i, k, path, opens, CASE WHEN opens THEN name ELSE '/' || name END AS name, CASE
+                            WHEN opens AND name = 'li' AND {matches('path', '/li' + item)} THEN {before('path', '/li' + item)}
+                            WHEN opens AND name IN ('dd', 'dt') AND {matches('path', '/d[dt]' + item)} THEN {before('path', '/d[dt]' + item)}
+                            WHEN opens AND name IN ('td', 'th') AND {matches('path', f'/(?:{rows}):')} THEN {back_to(rows)}
+                            WHEN opens AND name = 'tr' AND {matches('path', f'/(?:{sections}):')} THEN {back_to(sections)}
+                            WHEN opens AND name IN ('caption', 'tbody', 'thead', 'tfoot') AND {matches('path', '/table:')} THEN {back_to('table')}
+                            WHEN opens THEN path
+                            WHEN {matches('name', '^h[1-6]$')} THEN CASE WHEN {matches('path', '/h[1-6]:')}
+                                AND {no_barrier('path', before('path', '/h[1-6]:'))} THEN {before('path', '/h[1-6]:')} ELSE path END
+                            WHEN NOT contains(path, '/' || name || ':') THEN path
+                            WHEN name = 'table' THEN {same}
+                            WHEN name IN ('caption', 'tr', 'tbody', 'thead', 'tfoot', 'td', 'th') THEN
+                                CASE WHEN contains(substr(path, length({same}) + 1), '/table:') THEN path ELSE {same} END
+                            WHEN {no_barrier('path', same)} THEN {same} ELSE path END AS less
+                          FROM (SELECT f.page_id, t.i, t.k, f.open AS path, ltrim(t.name, '/') AS name,
+                                       NOT starts_with(t.name, '/') AS opens
+                                FROM fold AS f JOIN tok AS t ON t.page_id = f.page_id AND t.i = f.i + 1))))),
+     last AS (SELECT page_id, max_by(open, i) AS open FROM fold GROUP BY page_id),
+     done AS (
+        SELECT page_id, unnest(regexp_extract_all(closed, {q('/(?:p|h[123]):' + chr(92) + 'd+')})) AS e, k AS stop FROM fold
+        UNION ALL
+        SELECT page_id, unnest(regexp_extract_all(open, {q('/(?:p|h[123]):' + chr(92) + 'd+')})), NULL FROM last),
+     el AS (
+        SELECT page_id, regexp_extract(e, '/([a-z0-9]+):', 1) AS tag, regexp_extract(e, {q(':(' + chr(92) + 'd+)')}, 1)::BIGINT AS k, stop,
+               row_number() OVER (PARTITION BY page_id ORDER BY k)::INTEGER AS pos FROM done),
+     body AS (
+        SELECT page_id, pos, el.tag, {collapse_ws("string_agg(" + decode_entities('part') + ", ' ' ORDER BY g.k)")} AS text
+        FROM el JOIN g USING (page_id) WHERE g.k >= el.k AND (stop IS NULL OR g.k < stop) GROUP BY page_id, pos, el.tag),
+     raw AS (
+        SELECT page_id, regexp_extract(min_by(tag, k), {q(r'(?is)^<title(?:[' + chr(92) + r's/][^>]*)?>(.*)</title')}, 1) AS t
+        FROM g WHERE regexp_matches(tag, {q('(?is)^<title.*</title')}) GROUP BY page_id),
      t AS (
-        SELECT * EXCLUDE (pieces, raw_title, clean, html), 0 AS pos, 'title' AS tag,
-               CASE WHEN {collapse_ws(decode_entities('raw_title'))} = '' OR contains(raw_title, '<')
-                    THEN {q(H.NO_TITLE)} ELSE {collapse_ws(decode_entities('raw_title'))} END AS text
-        FROM p),
-     e AS (
-        SELECT * EXCLUDE (pieces, raw_title, clean, html, i), CAST(i - 1 AS INTEGER) AS pos,
-               lower(split_part(pieces[i], {q(sep)}, 1)) AS tag,
-               {collapse_ws(decode_entities(f"split_part(split_part(pieces[i], {q(sep)}, 2), {q(stop)}, 1)"))} AS text
-        FROM (SELECT *, unnest(range(2, len(pieces) + 1)) AS i FROM p))
-     SELECT * FROM t
-     UNION ALL
-     SELECT * FROM e
-     WHERE (tag = 'p' AND length(text) >= {H.MIN_PARAGRAPH_LENGTH})
-        OR (starts_with(tag, 'h') AND length(text) > 0))"""
+        SELECT page_id, 0 AS pos, 'title' AS tag,
+               CASE WHEN t IS NULL OR regexp_matches(t, '<[A-Za-z/!?]') OR {collapse_ws(decode_entities('t'))} = ''
+                    THEN 'No title' ELSE {collapse_ws(decode_entities('t'))} END AS text
+        FROM c LEFT JOIN raw USING (page_id))
+     SELECT c.* EXCLUDE (h), pos, tag, text FROM c JOIN (
+        SELECT * FROM t UNION ALL SELECT * FROM body
+        WHERE (tag = 'p' AND length(text) >= {_LEAST_PARAGRAPH}) OR (tag <> 'p' AND length(text) > 0)) USING (page_id))"""
 
 
 def elements_sql(src: str, dedupe: bool = True, collapse: bool = True) -> str:
@@ -104,7 +156,11 @@ def view(name: str, deps: list[str], sql: str) -> None:
 
 
 view("v_responses", [], """
-    SELECT page_id, url, html,
+    SELECT page_id, url, html || CASE page_id % 6
+               WHEN 1 THEN '<h2>Rooms &comma; halls<div>and &#150; more</div>1 < 2</h2><p title="a > b">' || html || '</p>'
+               WHEN 2 THEN '<ul><li><h3>Fees&nbsp; &auml;nd &#0000000228;<li><h3>x</h3><p>' || url || repeat(' word&notit;', 20) || '</ul>after'
+               WHEN 3 THEN '<table><tr><td><p>' || repeat('cell &auml ', 20) || '<td><h1>' || url || '<tr><td></div>' || repeat('&#x92 more ', 20) || '</table>'
+               WHEN 4 THEN '<h1><p>' || repeat('both kept ', 20) || '</p></h1><script>var p = "<p>' || url ELSE '' END AS html,
            CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 500 ELSE 200 END AS status,
            CASE WHEN page_id % 19 = 0 THEN 'application/pdf' ELSE 'text/html' END AS content_type,
            CASE WHEN page_id % 10 = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +41,8 @@ def strip_fragment(url: Column) -> Column:
 def md5_order(key: Column, seed: int) -> Column:
     """Reproducible pseudo-random order key: md5 of ``'<seed>|' || key``."""
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, also within a lambda."""
+    return F.transform(F.array(value), use)[0]

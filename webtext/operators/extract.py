@@ -18,9 +18,10 @@ def extract_page_elements(pages: DataFrame, html_col: str = "html",
                           out_col: str = "elements") -> DataFrame:
     """Add ``elements``: title + every kept p/h1/h2/h3 (keep rule applied)."""
     return (pages
-            .withColumn("_clean", H.strip_scripts(F.col(html_col)))
-            .withColumn(out_col, F.filter(H.raw_elements(F.col("_clean")), H.keep_rule))
-            .drop("_clean"))
+            .withColumn("_tokens", H.tokens(F.col(html_col)))
+            .withColumn("_spans", H.spans("_tokens"))
+            .withColumn(out_col, F.filter(H.raw_elements(F.col("_tokens"), F.col("_spans")), H.keep_rule))
+            .drop("_tokens", "_spans"))
 
 
 def dedupe_page_elements(pages: DataFrame, col: str = "elements") -> DataFrame:
@@ -51,7 +52,8 @@ def explode_elements(pages: DataFrame, col: str = "elements") -> DataFrame:
 
 def page_titles(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Title row of each page (``No title`` fallback)."""
-    return pages.withColumn("title", H.page_title(H.strip_scripts(F.col(html_col))))
+    return (pages.withColumn("_tokens", H.tokens(F.col(html_col)))
+            .withColumn("title", H.page_title(F.col("_tokens"))).drop("_tokens"))
 
 
 def extract_elements(pages: DataFrame, html_col: str = "html", dedupe: bool = True,

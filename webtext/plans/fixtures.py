@@ -44,11 +44,24 @@ def _pick(values, idx):
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """pages + HTTP status, content type, final URL and country code."""
+    """pages + HTTP status, content type, final URL and country code.  Five of six
+    pages end in nested or unclosed elements and odd character references."""
     p = table(spark, sf, "pages")
-    pid = F.col("page_id")
+    pid, url = F.col("page_id"), F.col("url")
+
+    def again(text: str):
+        return F.lit(text * 20)
+
+    ends = (F.when(pid % 6 == 1, F.concat(F.lit('<h2>Rooms &comma; halls<div>and &#150; more</div>1 < 2</h2><p title="a > b">'),
+                                          F.col("html"), F.lit("</p>")))
+            .when(pid % 6 == 2, F.concat(F.lit("<ul><li><h3>Fees&nbsp; &auml;nd &#0000000228;<li><h3>x</h3><p>"), url,
+                                         again(" word&notit;"), F.lit("</ul>after")))
+            .when(pid % 6 == 3, F.concat(F.lit("<table><tr><td><p>"), again("cell &auml "), F.lit("<td><h1>"), url,
+                                         F.lit("<tr><td></div>"), again("&#x92 more "), F.lit("</table>")))
+            .when(pid % 6 == 4, F.concat(F.lit("<h1><p>"), again("both kept "), F.lit('</p></h1><script>var p = "<p>'), url))
+            .otherwise(""))
     return p.select(
-        "page_id", "url", "html",
+        "page_id", "url", F.concat("html", ends).alias("html"),
         F.when(pid % 17 == 0, 404).when(pid % 23 == 0, 500).otherwise(200).alias("status"),
         F.when(pid % 19 == 0, "application/pdf").otherwise("text/html").alias("content_type"),
         F.when(pid % 10 == 0,

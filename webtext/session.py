@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the call site of every column expression is not recorded: building a plan is mostly that
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
