@@ -243,6 +243,7 @@ def replace_chain(x: str, pairs) -> str:
 oracle("repair_dictionary", ["v_mojibake_dict"],
        f"SELECT doc_id, {replace_chain('text', R.REPAIR_PAIRS)} AS text FROM v_mojibake_dict")
 oracle("repair_latin1", ["v_mojibake_latin1"], "SELECT doc_id, original AS text FROM v_mojibake_latin1")
+oracle("repair_code_pages", [], "SELECT doc_id, text FROM documents")
 # the general fix gives the unharmed text back; the dictionary works on that
 oracle("repair_text", ["v_docs"], f"""SELECT doc_id, country,
     CASE WHEN country = 'ger' THEN {replace_chain('text', R.REPAIR_PAIRS)} ELSE text END AS text FROM v_docs""")

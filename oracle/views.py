@@ -76,7 +76,7 @@ def _elements_sql(src: str) -> str:
         SELECT page_id, unnest(range(1, len(tags) + 1)) AS k, unnest(tags) AS tag, unnest(parts[2:]) AS part,
         FROM m),
      named AS (
-        SELECT page_id, k, part, lower(regexp_extract(tag, {q(r'^<(/?[a-zA-Z][^' + chr(92) + 's/>]*)')}, 1)) AS name FROM g),
+        SELECT page_id, k, part, lower(regexp_extract(CASE WHEN ends_with(tag, '>') THEN tag END, {q(r'^<(/?[a-zA-Z][^' + chr(92) + 's/>]*)')}, 1)) AS name FROM g),
      tok AS (
         SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS i FROM named
         WHERE ltrim(name, '/') IN ({', '.join(map(q, _CONTAINERS))})),

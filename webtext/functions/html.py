@@ -45,14 +45,15 @@ STRUCTURE = [
 _SCOPE = ["table", "caption", *_CELLS]
 
 _BEGIN, _NAMED, _READY = "\u0001", "\u0002", "\u0003"
-# Up to the end of a tag: a ``>`` within a quoted value is not it.
-_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\z)"""
+# What follows a tag's name: a ``>`` within a quoted value does not end it.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _NAME_ENDS = r"(?=[\s/>]|\z)"
 _MARKUP = (
     r"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\z))"
-    rf"|(script|style){_NAME_ENDS}{_REST}(?:.*?</\1{_NAME_ENDS}[^>]*+(?:>|\z)|.*+)"
-    rf"|(title){_NAME_ENDS}{_REST}(.*?)</title{_NAME_ENDS}[^>]*+(?:>|\z)"
-    rf"|(/?)(?:({'|'.join(STRUCTURE)}){_NAME_ENDS}|[a-z]){_REST}"
+    rf"|(script|style){_NAME_ENDS}{_REST}>(?:.*?</\1{_NAME_ENDS}[^>]*+(?:>|\z)|.*+)"
+    rf"|(title){_NAME_ENDS}{_REST}>(.*?)</title{_NAME_ENDS}[^>]*+(?:>|\z)"
+    rf"|(/?)(?:({'|'.join(STRUCTURE)}){_NAME_ENDS}|[a-z]){_REST}>"
+    rf"|/?[a-z]{_REST}\z"
     r"|[!?][^>]*+(?:>|\z)|/[^a-z>][^>]*+(?:>|\z)|/>)"
     r"|[\x{1}-\x{3}]")
 #: What is no structural tag and no title leaves an empty mark behind.

@@ -1,8 +1,9 @@
 """Encoding repair as native column expressions (no Python UDF).
 
-* :func:`fix_encoding` -- UTF-8 that was read as Latin-1 or cp1252 (``Ã¤`` for
-  ``ä``, ``â€“`` for ``–``) is decoded again, each sequence for itself, so other
-  characters of the text neither hinder the repair nor change.
+* :func:`fix_encoding` -- UTF-8 that was read in a one-byte code page (``Ã¤``,
+  ``√§`` or ``├ñ`` for ``ä``, ``â€“`` for ``–``) is decoded again, each sequence
+  for itself, so other characters of the text neither hinder the repair nor
+  change.  The code page is found by the cost of what each leaves.
 * :func:`dictionary_repair` -- an ordered list of literal replacements applied
   one after the other (later keys may match text produced by earlier ones).
 * :func:`repair_text` -- both, in that order, as a stage before cleaning.
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # --- fixed values ---------------------------------------------------------
 # Mis-decoded character sequences and their repair, in the order in which they
 # are applied.  C1 control characters (U+0080..U+009F) are written as escapes
@@ -145,6 +148,8 @@ def _misread_pattern() -> str:
     return "(?:" + "|".join([
         r"[\x{C2}\x{C3}]" + follow,
         r"[\x{C4}-\x{DF}]" + control,
+        # the letters by which cp1252 shows a control, behind a lead misread twice
+        r"(?<=\x{C3}[\x{192}\x{201A}])[\x{C5}\x{C6}\x{CB}]" + follow,
         r"\x{E2}[\x{20AC}\x{201A}\x{201E}]" + follow,
         r"[\x{E0}-\x{EF}]" + control + follow,
         r"\x{F0}\x{178}" + follow * 2,
@@ -155,16 +160,90 @@ def _misread_pattern() -> str:
 MISREAD = _misread_pattern()
 
 
-def fix_encoding(col: Column) -> Column:
-    """Decode each misread sequence again; a sequence whose bytes are not valid
-    UTF-8 stays as it is.  Null stays null."""
-    def decoded(piece):
-        latin = F.translate(piece, CP1252_CHARS, CP1252_CONTROLS)
-        text = F.encode(F.when(piece.rlike(f"^{MISREAD}$"), latin), "ISO-8859-1").cast("string")
+#: Other code pages in which UTF-8 has been read.
+CODE_PAGES = ["mac_roman", "cp1250", "cp1251", "cp437"]
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+# Characters that stand in no word of a text that was read well: controls, a
+# symbol between letters, letters of two scripts side by side.
+_ODD = (r"[\x{80}-\x{9F}\x{FFFD}]|(?<=\p{L})[\p{So}\p{Sm}\p{Sk}](?=\p{L})"
+        r"|(?<=\p{IsLatin})[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}](?=\p{IsLatin})")
+
+
+def _shown(page: str, first: int, last: int) -> str:
+    """The characters by which a code page shows a range of bytes, as the inside
+    of a character class."""
+    chars = [bytes([n]).decode(page, "ignore") for n in range(first, last + 1)]
+    return "".join("\\x{%X}" % ord(c) for c in chars if c)
+
+
+def _page_pattern(page: str) -> str:
+    """One UTF-8 sequence read in ``page``.
+
+    These characters also occur in texts of other languages, in drawings and in
+    formulas, so a letter (two bytes) must touch a Latin letter of its word.  In
+    cp1250 the second may itself be a letter of a Central European word: then a
+    small letter must stand before the capital that is the first.  Punctuation
+    (three bytes) begins with two characters that do not meet otherwise."""
+    lead, follow = f"[{_shown(page, 0xC2, 0xC5)}]", f"[{_shown(page, 0x80, 0xBF)}]"
+    letters = rf"(?<=[{_LATIN}]){lead}{follow}|{lead}{follow}(?=[{_LATIN}])"
+    if page == "cp1250":
+        plain = rf"[{_shown(page, 0x80, 0xBF)}&&\P{{L}}]"
+        letters = rf"(?<=[{_LATIN}]){lead}{plain}|{lead}{plain}(?=[{_LATIN}])|(?<=[a-zß-ÿ]){lead}{follow}"
+    if page == "mac_roman":      # signs behind a "not" sign
+        letters += rf"|{_shown(page, 0xC2, 0xC2)}[{_shown(page, 0xA0, 0xBF)}]"
+    start = _shown(page, 0xE2, 0xE2)
+    return rf"(?:{letters}|{start}{_shown(page, 0x80, 0x80)}{follow}|{start}{_shown(page, 0x82, 0x82)}{_shown(page, 0xAC, 0xAC)})"
+
+
+def _table(page: str) -> tuple[str, str]:
+    """Characters of a code page and the Latin-1 characters of the same bytes."""
+    pairs = [(c, chr(n)) for n in range(0x80, 0x100) if (c := bytes([n]).decode(page, "ignore"))]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: pattern of a misread sequence, its characters, the Latin-1 characters of their
+#: bytes; cp1252 and Latin-1 are one reading, as they differ in controls only.
+READINGS = [(MISREAD, CP1252_CHARS, CP1252_CONTROLS), *[(_page_pattern(p), *_table(p)) for p in CODE_PAGES]]
+#: Any of them; most places of a text are passed over by their first character.
+ANY_MISREAD = (r"(?=[\x{C2}-\x{F4}" + "".join(_shown(p, 0xC2, 0xC5) + _shown(p, 0xE2, 0xE2) for p in CODE_PAGES) + "])(?:"
+               + "|".join(pattern for pattern, _, _ in READINGS) + ")")
+
+
+def _reread(col: Column, pattern: str, chars: str, latin: str) -> Column:
+    """Each sequence of one reading decoded; one that is no UTF-8 stays."""
+    def decoded(piece: Column) -> Column:
+        text = F.encode(F.translate(piece, chars, latin), "ISO-8859-1").cast("string")
         return F.when(F.is_valid_utf8(text), text).otherwise(piece)
-    pieces = F.split(col, f"(?={MISREAD})|(?<={MISREAD})")
-    return (F.when(col.rlike(MISREAD), F.array_join(F.transform(pieces, decoded), ""))
-            .otherwise(col))
+
+    marked = F.regexp_replace(F.regexp_replace(col, "\u0001", " "), f"({pattern})", "\u0001$1\u0001")
+    return F.array_join(F.transform(F.split(marked, "\u0001"), lambda p, i: F.when(i % 2 == 1, decoded(p)).otherwise(p)), "")
+
+
+def _cost(col: Column) -> Column:
+    """Misread sequences and odd characters of a text."""
+    return 2 * F.regexp_count(col, F.lit(ANY_MISREAD)) + F.regexp_count(col, F.lit(_ODD))
+
+
+def _cheapest(col: Column) -> Column:
+    """The text as it is or reread in one code page, whichever costs least; of
+    equals the shortest, as a repaired sequence may show that its neighbour is one."""
+    def candidate(k: int, text: Column) -> Column:
+        return let(text, lambda t: F.struct(_cost(t).alias("cost"), F.length(t).alias("n"), F.lit(k).alias("k"), t.alias("text")))
+
+    others = [F.when(col.rlike(r[0]), candidate(k, _reread(col, *r))) for k, r in enumerate(READINGS, 1)]
+    return F.array_min(F.array(candidate(0, col), *others))["text"]
+
+
+def fix_encoding(col: Column) -> Column:
+    """UTF-8 that was read in a one-byte code page is read again.
+
+    Of the readings the one that leaves the least odd text is taken, and again
+    until nothing changes: a text misread twice, or in parts in several code
+    pages, is repaired layer by layer.  A layer makes a character at least twice
+    as long, so the logarithm of the length bounds their number.  Null stays null."""
+    layers = F.sequence(F.lit(1), F.ceil(F.log2(F.length(col))).cast("int") + 1)
+    again = F.aggregate(layers, col, lambda t, _: F.when(t.rlike(ANY_MISREAD), _cheapest(t)).otherwise(t))
+    return F.when(col.rlike(ANY_MISREAD), again).otherwise(col)
 
 
 def repair_text(col: Column) -> Column:

@@ -104,6 +104,27 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("text_length", F.length("text")))
 
 
+#: Readings of two UTF-8 bytes in the code pages of the repair; the last one twice.
+def code_page_readings(letter: str) -> list[str]:
+    data = letter.encode()
+    return [data.decode("cp1252"), *[data.decode(p) for p in ("mac_roman", "cp1250", "cp1251", "cp437")],
+            data.decode("cp1252").encode().decode("cp1252")]
+
+
+MISREAD_LETTERS = "äöüßéèçñ"
+
+
+def misread_by_code_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose umlauts and accents behind small letters were read in one of
+    six ways."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    text = F.col("text")
+    for letter in MISREAD_LETTERS:
+        by_doc = _pick(code_page_readings(letter), F.col("doc_id") % 6)
+        text = F.regexp_replace(text, F.lit(f"([a-z]){letter}"), F.concat(F.lit("$1"), by_doc))
+    return d.withColumn("text", text)
+
+
 def misread(t, style: str = "dictionary"):
     """Umlauts as UTF-8 bytes read as one-byte characters; ``ß`` in the cp1252
     (dictionary) or Latin-1 reading."""

@@ -288,6 +288,13 @@ def repair_latin1(spark, sf):
     return m.select("doc_id", repair.fix_encoding(F.col("text")).alias("text"))
 
 
+@query
+def repair_code_pages(spark, sf):
+    """Texts misread in six ways, two layers among them, read again."""
+    m = FX.misread_by_code_page(spark, sf)
+    return m.select("doc_id", repair.fix_encoding(F.col("text")).alias("text"))
+
+
 def repaired(df: DataFrame) -> DataFrame:
     """The repair stage: only the German sources were stored misread."""
     return df.withColumn("text", F.when(F.col("country") == "ger", repair.repair_text(F.col("text")))
