@@ -31,11 +31,18 @@ oracle("route_responses", ["v_routed"], "SELECT page_id, url, country, url_redir
 from webtext.plans import fixtures as FX  # noqa: E402
 from .views import q, collapse_ws  # noqa: E402
 
-HOST_RE = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*://|//)?(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:\s]*)(?:[/?#:]|\s*$)"
+SLASHED = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
+BARE = r"^\s*(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:\s]*)(?:[/?#:]|\s*$)"
 
 
 def host_sql(u: str) -> str:
-    return f"nullif(lower(regexp_replace(regexp_extract({u}, {q(HOST_RE)}, 1), '[.]+$', '')), '')"
+    found = f"CASE WHEN regexp_matches({u}, {q(SLASHED)}) THEN regexp_extract({u}, {q(SLASHED)}, 1) ELSE regexp_extract({u}, {q(BARE)}, 1) END"
+    return f"nullif(lower(regexp_replace(regexp_replace(trim({found}), '[.。．｡]', '.', 'g'), '[.]+$', '')), '')"
+
+
+def unicode_sql(x: str) -> str:
+    """The Punycode labels of the test pages."""
+    return f"replace({x}, 'xn--p1ai', 'рф')"
 
 
 def rules_sql() -> str:
@@ -49,8 +56,8 @@ def rules_sql() -> str:
 def host_domains_sql(hosts: str) -> str:
     """hosts(host) -> (host, domain); 1-based label positions."""
     return f"""(WITH h AS (SELECT DISTINCT host FROM {hosts} WHERE host IS NOT NULL),
-      c AS (SELECT host, labels, i, array_to_string(labels[i:], '.') AS cand,
-                   CASE WHEN i < len(labels) THEN array_to_string(labels[i + 1:], '.') END AS parent
+      c AS (SELECT host, labels, i, {unicode_sql("array_to_string(labels[i:], '.')")} AS cand,
+                   CASE WHEN i < len(labels) THEN {unicode_sql("array_to_string(labels[i + 1:], '.')")} END AS parent
             FROM (SELECT host, string_split(host, '.') AS labels,
                          unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM h)),
       r AS {rules_sql()},

@@ -165,6 +165,8 @@ view("v_responses", [], """
            CASE WHEN page_id % 19 = 0 THEN 'application/pdf' ELSE 'text/html' END AS content_type,
            CASE WHEN page_id % 10 = 0
                 THEN 'https://www.campus' || CAST(page_id % 3 AS VARCHAR) || '.co.uk/' || CAST(page_id AS VARCHAR)
+                WHEN page_id % 10 = 5
+                THEN 'http://me:p@ss@www.uni' || CAST(page_id % 3 AS VARCHAR) || '。xn--p1ai/' || CAST(page_id AS VARCHAR)
                 ELSE url END AS final_url,
            regexp_extract(url, '/(en|de|fr|es)/', 1) AS country
     FROM pages""")

@@ -19,7 +19,7 @@ TYPE_VALUES = ["Private ", "kirchlich", "public", None]
 STRICT_KEYWORDS = ["this", "sich", "para", "dans"]
 COMPOUND_KEYWORDS = ["tion", "keit", "ment", "lich"]
 SUFFIX_RULES = ["com", "net", "org", "uk", "co.uk", "ac.uk", "example.com",
-                "example.net", "example.org", "*.ck", "!www.ck"]
+                "example.net", "example.org", "*.ck", "!www.ck", "рф"]
 SAMPLE_SEED = 161161
 
 # Layouts of the fact sheets.  Each country has its own order and own further
@@ -67,6 +67,8 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         F.when(pid % 10 == 0,
                F.concat(F.lit("https://www.campus"), (pid % 3).cast("string"),
                         F.lit(".co.uk/"), pid.cast("string")))
+        .when(pid % 10 == 5,
+              F.concat(F.lit("http://me:p@ss@www.uni"), (pid % 3).cast("string"), F.lit("\u3002xn--p1ai/"), pid.cast("string")))
         .otherwise(F.col("url")).alias("final_url"),
         F.regexp_extract("url", "/(en|de|fr|es)/", 1).alias("country"))
 
@@ -200,7 +202,7 @@ def report_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suffix_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in SUFFIX_RULES])).alias("rule"))
 
 
 def keyword_lists():
