@@ -32,7 +32,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from .common import NULL_ID, WS_BYTES, id_key, on_workers, partitions, plain, saved
 from .phash import PerfectHash, mix
@@ -204,25 +203,25 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, ``text`` without the dropped lines and
     ``n_chars``, where there is one, as its new length.  A null text stays null."""
     on_workers(docs.sparkSession)
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        """Texts and drop lists alone go to Python, 1,024 of them as objects at once."""
+        out = []
+        for start in range(0, len(texts), 1024):
+            kept = []
+            for text, drop in zip(texts.slice(start, 1024).to_pylist(), drops.slice(start, 1024).to_pylist()):
+                if drop and text:
+                    drop = set(drop)
+                    text = "\n".join(x for x, h in zip(text.split("\n"), line_hashes(text)) if h not in drop)
+                kept.append(text)
+            out.append(pa.array(kept, pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
     # a user's row stays in one column: its names cannot meet those used here
     rows = docs.select(id_key().alias("id"), F.struct("*").alias("row"))
-    joined = rows.join(lines_to_drop(plain(docs)).hint("shuffle_hash"), "id", "left").select("row", "drop")
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):      # no more texts than these are Python objects at once
-                b = whole.slice(start, 1024)
-                fields, texts = b.column(0).flatten(), []
-                for text, drop in zip(fields[at].to_pylist(), b.column(1).to_pylist()):
-                    if drop and text:
-                        drop = set(drop)
-                        text = "\n".join(x for x, h in zip(text.split("\n"), line_hashes(text)) if h not in drop)
-                    texts.append(text)
-                fields[at] = pa.array(texts, fields[at].type)
-                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(b.column(0).type))], ["row"])
-
-    out = joined.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
-    if "n_chars" not in docs.columns:
-        return out
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    joined = rows.join(lines_to_drop(plain(docs)).hint("shuffle_hash"), "id", "left")
+    changed = joined.withColumn("text", without("row.text", "drop"))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.col("row").getField("n_chars"))
+           if "n_chars" in docs.columns else None}
+    return changed.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("row").getField(f.name)).alias(f.name)
+                            for f in docs.schema])

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from .common import on_workers, plain
 
@@ -176,15 +175,14 @@ def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text the model accepts."""
     on_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):      # no more texts than these are Python objects at once
-                b = whole.slice(start, 1024)
-                x = np.array([statistics(t or "") for t in b.column(0).field(at).to_pylist()])
-                yield b.filter(pa.array(model.scores(x) >= 0.5))
-
-    whole_row = docs.select(F.struct("*").alias("row"))      # whatever its names are
-    return whole_row.mapInArrow(run, StructType([StructField("row", docs.schema)])).select("row.*")
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        """Texts alone go to Python, 1,024 of them as objects at once; rows stay where they are."""
+        model, out = shared.value, []
+        for start in range(0, len(texts), 1024):
+            x = np.array([statistics(t or "") for t in texts.slice(start, 1024).to_pylist()])
+            out.append(model.scores(x) >= 0.5)
+        return pa.array(np.concatenate(out) if out else [], pa.bool_())
+
+    return docs.filter(accepted("text"))
