@@ -201,6 +201,7 @@ oracle("keyword_review_buckets", ["v_docs"], f"""
     UNION ALL
     SELECT 'keyword_2+' AS bucket, * FROM {_BUCKET_SRC} m
     WHERE len(list_distinct(string_split(keywords, ', '))) >= 2""")
+SQL["keyword_review_files"] = SQL["keyword_review_buckets"]
 oracle("keyword_hits_by_domain", ["v_elements"], f"""
     SELECT country, domain, count(*) AS texts, count(DISTINCT url) AS urls
     FROM {filtered_sql('v_elements')} GROUP BY country, domain""")
@@ -231,7 +232,8 @@ oracle("resume_append", ["v_elements", "v_routed", "v_done"], """
 
 # ---- sources --------------------------------------------------------------------------------------------
 
-oracle("csv_roundtrip", [], "SELECT doc_id, text, lang, source, n_chars FROM documents")
+oracle("csv_roundtrip", [], """SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 50 = 1 THEN '' ELSE text END AS text,
+    lang, source, n_chars FROM documents""")
 oracle("corpus_sink", ["v_docs"], f"""SELECT {CORPUS_COLS.replace(' text,', " nullif(text, '') AS text,")}
     FROM {corpus_sql('v_docs')}""")
 STRIP = f"'^{WS}+|{WS}+$'"
@@ -310,6 +312,8 @@ LABEL = "CASE " + " ".join(f"WHEN token = '{k}' THEN {q(v)}" for k, v in SC.CONC
 DECODED = f"(SELECT doc_id, rank, {LABEL} AS label, round(exp(logprob) * 100, 2) AS linprob FROM {TOP})"
 oracle("topk_scores", ["v_scores"], f"SELECT doc_id, rank, token, logprob FROM {TOP}")
 oracle("decode_tokens", ["v_scores"], f"SELECT * FROM {DECODED}")
+oracle("row_index_by", [], """SELECT doc_id, lang, substr(md5(source), 1, 2) AS key,
+    row_number() OVER (PARTITION BY lang ORDER BY substr(md5(source), 1, 2), doc_id) AS "index" FROM documents""")
 oracle("row_index", [], """SELECT doc_id, lang,
     CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS "index" FROM documents""")
 WIDE = "(SELECT doc_id, " + ", ".join(
@@ -453,6 +457,9 @@ oracle("pair_counts", ["v_ratings"], " UNION ALL ".join(f"""
     FROM {RATINGS} WHERE llm IS NOT NULL AND coder_a IS NOT NULL AND coder_b IS NOT NULL
     GROUP BY {a}, {b}""" for a, b in PAIRS))
 
+SQL["pair_counts_sink"] = f"""SELECT *, row_number() OVER (
+    PARTITION BY rater_1, rater_2 ORDER BY "count" DESC, value_1, value_2)::INTEGER AS "row" FROM ({SQL["pair_counts"]})"""
+
 _CN = "CASE " + " ".join(f"WHEN country = {q(k)} THEN {q(v)}" for k, v in RP.COUNTRY_NAMES.items()) + " ELSE country END"
 oracle("country_report", ["v_report"], f"""
     WITH r AS (SELECT {_CN} AS country_name, nullif(CAST(number AS DOUBLE), 0.0) AS number, flag FROM v_report),

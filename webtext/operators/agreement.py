@@ -63,4 +63,9 @@ def pair_counts(df: DataFrame, raters: list[str]) -> DataFrame:
     return s.groupBy("rater_1", "rater_2", "value_1", "value_2").agg(F.count(F.lit(1)).alias("count"))
 
 
-__all__ = ["CONCEPT_LABELS", "ratings_table", "match_flags", "agreement", "pair_counts"]
+def sorted_pair_counts(df: DataFrame, raters: list[str]) -> DataFrame:
+    """Pair by pair, the most frequent values first."""
+    return pair_counts(df, raters).sort("rater_1", "rater_2", F.desc("count"), "value_1", "value_2")
+
+
+__all__ = ["CONCEPT_LABELS", "ratings_table", "match_flags", "agreement", "pair_counts", "sorted_pair_counts"]

@@ -12,6 +12,9 @@ totals ``T_L`` and ``V`` enter as scalar subqueries.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +73,9 @@ def detect_language(df: DataFrame, profiles: DataFrame, languages: list[str],
     where they are read and summed per row before the only exchange, which
     carries one row per document and task.  A profile too large to broadcast is
     joined on the trigram, after the repeats within each row are counted."""
-    keys = [key] if isinstance(key, str) else list(key)
+    own = [key] if isinstance(key, str) else list(key)
+    # rows that share a key, or have none, are told apart by their texts
+    df, keys = df.withColumn("_text", F.md5(text_col)), [*own, "_text"]
     prof = wide_profile(profiles, languages)
     grams = trigrams(df.select(*keys, text_col), keys, text_col).withColumn("n", F.lit(1))
     n_grams = profiles.select(F.count_distinct("gram")).first()[0]
@@ -87,7 +92,9 @@ def detect_language(df: DataFrame, profiles: DataFrame, languages: list[str],
     label = F.coalesce(*[F.when(F.col("detected") == k, F.lit(v)) for k, v in STUDY_LANGUAGES.items()],
                        F.lit(OTHER))
     blank = F.col(text_col).isNull() | (F.length(collapse_ws(F.col(text_col))) == 0)
-    return (df.join(scored, keys, "left")
+    scored = scored.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return (df.join(scored, same, "left").drop("_text", *[f"_k_{k}" for k in keys])
             .withColumn("language", F.when(blank, F.lit(OTHER))
                         .when(F.col("detected").isNull(), F.lit(ERROR)).otherwise(label)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import materialise
+
 # --- fixed values ---------------------------------------------------------
 CONCEPT_LABELS = {1: "Individual", 2: "Collective", 3: "Neutral/Irrelevant"}
 TOP_K = 3
@@ -53,6 +55,26 @@ def scores_wide(decoded: DataFrame, key: str = "doc_id", k: int = TOP_K) -> Data
     return decoded.groupBy(key).agg(*aggs)
 
 
+def row_index_by(df: DataFrame, part: str, order: list[str], out: str = "index") -> DataFrame:
+    """Dense running index (1, 2, ...) per ``part`` in the order of the columns
+    ``order``, whatever their type; name as many as make the order total.
+
+    The rows are cut into ranges of about equal size at sampled values of part and
+    order, and written once with the number of their range; the counts of each part
+    in each range, a table as small as the number of ranges, give the offsets."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(part, *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(spark, ranged, "ranges")
+    counts = ranged.groupBy(part, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(part).alias("_part"), F.col("_range").alias("_r"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    same = F.col(part).eqNullSafe(F.col("_part")) & (F.col("_range") == F.col("_r"))
+    within = Window.partitionBy(part, "_range").orderBy(*order)
+    return (ranged.join(offsets, same).withColumn(out, (F.col("_offset") + F.row_number().over(within)).cast("bigint"))
+            .drop("_part", "_r", "_range", "_offset"))
+
+
 def row_index(df: DataFrame, part: str, key: str, bucket_width: int = 1 << 16,
               out: str = "index") -> DataFrame:
     """Dense running index (1, 2, ...) per ``part`` in ``key`` order, without

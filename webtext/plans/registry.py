@@ -7,7 +7,7 @@ library's operators with ``DataFrame.transform``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import crawl, extract
@@ -180,6 +180,14 @@ def keyword_review_buckets(spark, sf):
     return keywords.review_buckets(m.filter(F.col("keywords") != ""))
 
 
+@query
+def keyword_review_files(spark, sf):
+    """One output folder per review condition, written and read again."""
+    path = scratch_path(spark, "review")
+    files.write_csv(keyword_review_buckets(spark, sf), path, partition_by=["bucket"])
+    return files.read_csv(spark, path, "keywords STRING, text STRING, country STRING, domain STRING, url STRING, bucket STRING")
+
+
 @query
 def keyword_hits_by_domain(spark, sf):
     """Flagship: stored pages -> elements -> clean corpus -> keyword filter ->
@@ -238,8 +246,10 @@ DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BI
 
 @query
 def csv_roundtrip(spark, sf):
+    """Null, empty and other texts."""
     path = scratch_path(spark, "csv")
-    files.write_csv(FX.table(spark, sf, "documents"), path)
+    text = F.when(F.col("doc_id") % 50 == 0, None).when(F.col("doc_id") % 50 == 1, "").otherwise(F.col("text"))
+    files.write_csv(FX.table(spark, sf, "documents").withColumn("text", text), path)
     return files.read_csv(spark, path, DOC_SCHEMA)
 
 
@@ -355,6 +365,13 @@ def decode_tokens(spark, sf):
     return scores.decode_tokens(_top(spark, sf)).select("doc_id", "rank", "label", "linprob")
 
 
+@query
+def row_index_by(spark, sf):
+    """Hashed keys, many of them tied."""
+    d = FX.table(spark, sf, "documents").select("doc_id", "lang", F.substring(F.md5("source"), 1, 2).alias("key"))
+    return scores.row_index_by(d, "lang", ["key", "doc_id"])
+
+
 @query
 def row_index(spark, sf):
     d = FX.table(spark, sf, "documents").select("doc_id", "lang")
@@ -558,6 +575,16 @@ def pair_counts(spark, sf):
     return agreement.pair_counts(ratings(spark, sf), RATERS)
 
 
+@query
+def pair_counts_sink(spark, sf):
+    """The sorted pair counts as written and read again, with the number of each row."""
+    path = scratch_path(spark, "pair-counts")
+    files.write_csv(agreement.sorted_pair_counts(ratings(spark, sf), RATERS).withColumn(
+        "row", F.row_number().over(Window.partitionBy("rater_1", "rater_2").orderBy(F.desc("count"), "value_1", "value_2"))),
+        path, sort_by=["rater_1", "rater_2", "row"])
+    return files.read_csv(spark, path, "rater_1 STRING, rater_2 STRING, value_1 STRING, value_2 STRING, `count` BIGINT, `row` INT")
+
+
 @query
 def country_report(spark, sf):
     r = FX.report_input(spark, sf).withColumn("country_name", report.relabel_country(F.col("country")))

@@ -16,16 +16,18 @@ from ..session import scratch_path
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
                # keep surrounding whitespace of values (the writer trims by default)
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: What an unquoted empty field reads as, and so null; a quoted one is empty text.
+_MISSING = "\u0000"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
              null_value: str | None = None, empty_is_missing: bool = False) -> DataFrame:
     """CSV with an explicit schema (no inference); quoted fields may span lines.
     A schema column that is a partition folder is read from the folder's name, so
-    a filter on it prunes folders.  ``empty_is_missing`` makes empty text null."""
-    r = spark.read.schema(schema).options(**CSV_OPTIONS).option("sep", sep)
-    if null_value is not None:
-        r = r.option("nullValue", null_value)
+    a filter on it prunes folders.  A quoted empty field is empty text, an unquoted
+    one null; ``empty_is_missing`` makes both null."""
+    r = (spark.read.schema(schema).options(**CSV_OPTIONS).option("sep", sep)
+         .option("nullValue", _MISSING if null_value is None else null_value))
     df = r.csv(path)
     if empty_is_missing:
         text = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
