@@ -194,6 +194,21 @@ oracle("keyword_hits", ["v_docs"], f"""SELECT url, "order", text, array_to_strin
 oracle("heading_merge", ["v_docs"], f"""SELECT url, "order", text, array_to_string(keywords, ', ') AS keywords,
     is_heading, merge_following, remove_following FROM {merge_sql(hits_sql(corpus_sql('v_docs')))}""")
 oracle("keyword_filter", ["v_docs"], f"SELECT * FROM {filtered_sql('v_docs')}")
+KW = "(SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark)"
+_UNIQUE = first_per_key_sql(f"(SELECT * FROM {corpus_sql('v_docs')} WHERE NOT contains(tag, 'title'))",
+                            "url, text", 'country NULLS FIRST, domain NULLS FIRST, "order"')
+# a word is kept if it is strict or holds a compound keyword: decided once per distinct word
+oracle("keyword_file_hits", ["v_docs"], f"""
+    WITH u AS (SELECT url, "order", string_split_regex(lower(text), {q(WORD_SPLIT)}) AS ws FROM {_UNIQUE}),
+    k AS MATERIALIZED {KW},
+    vocab AS MATERIALIZED (SELECT DISTINCT unnest(ws) AS t FROM u),
+    good AS (SELECT t FROM vocab WHERE t <> '' AND (t IN (SELECT w FROM k WHERE length(w) BETWEEN 6 AND 8)
+             OR EXISTS (SELECT 1 FROM k WHERE length(w) >= 9 AND contains(t, w)))),
+    hit AS (SELECT url, "order", i, ws[i] AS t FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM u)
+            SEMI JOIN good ON good.t = ws[i]),
+    l AS (SELECT url, "order", string_agg(t, ', ' ORDER BY i) AS keywords FROM hit GROUP BY url, "order")
+    SELECT u.url, u."order", coalesce(l.keywords, '') AS keywords
+    FROM u LEFT JOIN l ON u."order" = l."order" AND u.url = l.url""")
 _BUCKET_SRC = f"""(SELECT array_to_string(keywords, ', ') AS keywords, text, country, domain, url
     FROM {merge_sql(hits_sql(corpus_sql('v_docs')))} WHERE len(keywords) > 0)"""
 oracle("keyword_review_buckets", ["v_docs"], f"""
@@ -210,7 +225,7 @@ oracle("keyword_hits_by_domain", ["v_elements"], f"""
 # ---- crawl bookkeeping ------------------------------------------------------------------------------
 
 from webtext.functions import repair as R  # noqa: E402
-from webtext.operators import facts as FA, report as RP, scores as SC  # noqa: E402
+from webtext.operators import facts as FA, language as LG, report as RP, scores as SC  # noqa: E402
 from .views import WS  # noqa: E402
 
 WORKLIST = "(SELECT DISTINCT regexp_replace(url, '#.*$', '', 'g') AS url FROM v_urls)"
@@ -272,12 +287,13 @@ def grams_sql(src: str, key: str) -> str:
 
 
 PROFILE = grams_sql("(SELECT lang, text FROM documents WHERE lang IS NOT NULL)", "lang")
+HELD_OUT = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) BETWEEN '0' AND '4'"
 oracle("language_profiles", [], f"SELECT lang, gram, n FROM {PROFILE}")
 
 
-def detect_sql(src: str) -> str:
+def detect_sql(src: str, profile: str = PROFILE) -> str:
     """Rows of ``src`` (with text) with detected and language; rows are numbered."""
-    return f"""(WITH prof AS {PROFILE},
+    return f"""(WITH prof AS {profile},
     V AS (SELECT count(DISTINCT gram) AS v FROM prof),
     T AS (SELECT lang, sum(n) AS t FROM prof GROUP BY lang),
     test AS (SELECT *, row_number() OVER () AS rid FROM {src}),
@@ -288,9 +304,9 @@ def detect_sql(src: str) -> str:
            FROM known k CROSS JOIN T CROSS JOIN V
            LEFT JOIN prof p ON p.gram = k.gram AND p.lang = T.lang
            GROUP BY k.rid, T.lang),
-    best AS (SELECT rid, lang AS detected FROM (
-             SELECT *, row_number() OVER (PARTITION BY rid ORDER BY s DESC, lang DESC) AS r FROM sc)
-             WHERE r = 1)
+    best AS (SELECT rid, arg_max(lang, s) AS detected
+             FROM (SELECT *, max(s) OVER (PARTITION BY rid) AS m FROM sc)
+             GROUP BY rid HAVING sum(exp(s - m)) <= 1 / {LG.MIN_POSTERIOR})
     SELECT test.* EXCLUDE (rid), best.detected,
            CASE WHEN test.text IS NULL OR {collapse_ws('test.text')} = '' THEN 'Other'
                 WHEN best.detected IS NULL THEN 'Error'
@@ -304,6 +320,11 @@ def study_sql(src: str) -> str:
 
 
 oracle("detect_language", [], f"SELECT doc_id, lang, detected, language FROM {detect_sql('documents')}")
+oracle("language_accuracy", [], f"""SELECT lang, count(*) AS texts,
+    CAST(count_if(detected = lang) AS BIGINT) AS "right", CAST(count_if(detected IS NULL) AS BIGINT) AS undecided
+    FROM {detect_sql(f"(SELECT doc_id, text, lang FROM documents WHERE {HELD_OUT})",
+                     grams_sql(f"(SELECT lang, text FROM documents WHERE lang IS NOT NULL AND NOT {HELD_OUT})", "lang"))}
+    GROUP BY lang""")
 oracle("filter_language", [], f"SELECT doc_id, language FROM {study_sql('documents')}")
 TOP = """(SELECT doc_id, token, logprob, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY logprob DESC, token) AS rank FROM v_scores)
@@ -316,10 +337,57 @@ oracle("row_index_by", [], """SELECT doc_id, lang, substr(md5(source), 1, 2) AS
     row_number() OVER (PARTITION BY lang ORDER BY substr(md5(source), 1, 2), doc_id) AS "index" FROM documents""")
 oracle("row_index", [], """SELECT doc_id, lang,
     CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS "index" FROM documents""")
-WIDE = "(SELECT doc_id, " + ", ".join(
-    f"max(CASE WHEN rank = {r} THEN label END) AS token_{r}, max(CASE WHEN rank = {r} THEN linprob END) AS linprob_{r}"
-    for r in (1, 2, 3)) + f" FROM {DECODED} GROUP BY doc_id)"
-oracle("scores_wide", ["v_scores"], f"SELECT * FROM {WIDE}")
+def wide_sql(decoded: str) -> str:
+    return "(SELECT doc_id, " + ", ".join(
+        f"max(CASE WHEN rank = {r} THEN label END) AS token_{r}, max(CASE WHEN rank = {r} THEN linprob END) AS linprob_{r}"
+        for r in (1, 2, 3)) + f" FROM {decoded} GROUP BY doc_id)"
+
+
+oracle("scores_wide", ["v_scores"], f"SELECT * FROM {wide_sql(DECODED)}")
+
+
+def class_scores_sql(src: str, coded: str) -> str:
+    """(doc_id, token, logprob) of the rows (doc_id, language, text) of ``src``."""
+    def words(x, cols):
+        return f"(SELECT {cols}, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM {x})"
+    return f"""(WITH coded AS MATERIALIZED (SELECT * FROM {coded} WHERE language IS NOT NULL),
+    n AS MATERIALIZED (SELECT language, code, w, count(*) AS n FROM {words('coded', 'language, code')} GROUP BY ALL),
+    code AS (SELECT unnest([1, 2, 3]) AS code),
+    vocab AS (SELECT DISTINCT language, w FROM n),
+    v AS MATERIALIZED (SELECT language, count(*) AS v FROM vocab GROUP BY language),
+    t AS MATERIALIZED (SELECT language, code, sum(n) AS t FROM n GROUP BY ALL),
+    d AS (SELECT language, code, count(*) AS d FROM coded GROUP BY ALL),
+    a AS (SELECT language, count(*) AS a FROM coded GROUP BY ALL),
+    prior AS MATERIALIZED (SELECT a.language, c.code, ln((coalesce(d.d, 0) + 1) / (a.a + 3)) AS p, coalesce(t.t, 0) AS t
+              FROM a CROSS JOIN code c LEFT JOIN d ON d.language = a.language AND d.code = c.code
+              LEFT JOIN t ON t.language = a.language AND t.code = c.code),
+    rows_ AS MATERIALIZED (SELECT doc_id, language, text FROM {src}),
+    model AS MATERIALIZED (SELECT vocab.language, vocab.w, p.code, ln((coalesce(n.n, 0) + 1) / (p.t + v.v)) AS lp
+          FROM vocab JOIN v ON v.language = vocab.language JOIN prior p ON p.language = vocab.language
+          LEFT JOIN n ON n.language = vocab.language AND n.w = vocab.w AND n.code = p.code),
+    known AS MATERIALIZED (SELECT doc_id, language, w, count(*) AS m FROM {words('rows_', 'doc_id, language')} GROUP BY ALL),
+    s AS (SELECT k.doc_id, m.code, sum(k.m * m.lp) AS s
+          FROM known k JOIN model m ON m.language = k.language AND m.w = k.w GROUP BY ALL),
+    total AS (SELECT r.doc_id, p.code, p.p + coalesce(s.s, 0) AS s FROM (SELECT DISTINCT doc_id, language FROM rows_) r
+              JOIN prior p USING (language) LEFT JOIN s ON s.doc_id = r.doc_id AND s.code = p.code),
+    top AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM total)
+    SELECT doc_id, CAST(code AS VARCHAR) AS token, s - m - ln(sum(exp(s - m)) OVER (PARTITION BY doc_id)) AS logprob
+    FROM top)"""
+
+
+def decoded_sql(scores: str) -> str:
+    return f"""(SELECT doc_id, rank, {LABEL} AS label, round(exp(logprob) * 100, 2) AS linprob FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY logprob DESC, token) AS rank FROM {scores})
+        WHERE rank <= 3)"""
+
+
+DOC_LANG = "(SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'ger' ELSE lang END AS language, text FROM documents)"
+oracle("class_scores", ["v_coded"], f"SELECT doc_id, token, round(logprob, 4) + 0.0 AS logprob FROM {class_scores_sql(DOC_LANG, 'v_coded')}")
+oracle("class_accuracy", ["v_coded"], f"""WITH s AS {class_scores_sql(f'(SELECT * FROM v_coded WHERE {HELD_OUT})',
+                                                                       f'(SELECT * FROM v_coded WHERE NOT {HELD_OUT})')}
+    SELECT language, count(*) AS texts, CAST(count_if(CAST(token AS INTEGER) = code) AS BIGINT) AS "right"
+    FROM v_coded JOIN (SELECT doc_id, token FROM s QUALIFY
+        row_number() OVER (PARTITION BY doc_id ORDER BY logprob DESC, token) = 1) USING (doc_id) GROUP BY language""")
 
 # ---- classes ----------------------------------------------------------------------------------------------------
 
@@ -331,10 +399,10 @@ oracle("study_texts", ["v_docs"], f"""SELECT doc_id, country, domain, url, "orde
 SCORED = f"""(SELECT c.doc_id, c.language, c.country, c.domain, c.url, c.text,
     CASE WHEN w.linprob_1 <= 50 THEN NULL ELSE w.token_1 END AS token_1, w.linprob_1,
     w.token_2, w.linprob_2, w.token_3, w.linprob_3
-    FROM {STUDY} c LEFT JOIN {WIDE} w USING (doc_id))"""
-oracle("attach_scores", ["v_docs", "v_scores"],
+    FROM {STUDY} c LEFT JOIN {wide_sql(decoded_sql(class_scores_sql(STUDY, 'v_coded')))} w USING (doc_id))"""
+oracle("attach_scores", ["v_docs", "v_coded"],
        f"SELECT doc_id, language, country, domain, token_1, linprob_1 FROM {SCORED}")
-oracle("domain_class_counts", ["v_docs", "v_scores"], f"""SELECT country, domain, token_1, count(*) AS len
+oracle("domain_class_counts", ["v_docs", "v_coded"], f"""SELECT country, domain, token_1, count(*) AS len
     FROM {SCORED} WHERE token_1 IS NOT NULL GROUP BY ALL""")
 LABS = list(SC.CONCEPT_LABELS.values())
 PIVOT = ("(SELECT country, domain, " + ", ".join(
@@ -345,8 +413,8 @@ PROPS = f"""(SELECT *, CAST({N_} + {C_} + {I_} AS BIGINT) AS total, CAST({C_} +
     CASE WHEN {C_} + {I_} <= 1 THEN NULL
          WHEN {I_} = 0 AND {C_} = 0 THEN 0.0 WHEN {I_} = 0 OR {C_} = 0 THEN 1.0
          ELSE round({I_} / ({I_} + {C_}), 6) END AS ind_coll_prop FROM {PIVOT})"""
-oracle("domain_class_pivot", ["v_docs", "v_scores"], f"SELECT * FROM {PIVOT}")
-oracle("domain_proportions", ["v_docs", "v_scores"], f"SELECT * FROM {PROPS}")
+oracle("domain_class_pivot", ["v_docs", "v_coded"], f"SELECT * FROM {PIVOT}")
+oracle("domain_proportions", ["v_docs", "v_coded"], f"SELECT * FROM {PROPS}")
 
 # ---- facts ------------------------------------------------------------------------------------------------------------
 
@@ -423,9 +491,9 @@ oracle("url_coverage", ["v_urls", "v_elements", "v_routed"], f"SELECT * FROM {UR
 oracle("domain_coverage", ["v_urls", "v_elements", "v_routed"], f"SELECT * FROM {dom_cov_sql(URL_COV)}")
 DOC_COV = dom_cov_sql(url_cov_sql("(SELECT DISTINCT url, country FROM v_docs)", "v_docs", STUDY))
 COV_CLASSES = f"(SELECT * FROM {DOC_COV} d LEFT JOIN {PROPS} p USING (country, domain))"
-oracle("coverage_classes", ["v_docs", "v_scores", "v_routed"], f"SELECT * FROM {COV_CLASSES}")
+oracle("coverage_classes", ["v_docs", "v_coded", "v_routed"], f"SELECT * FROM {COV_CLASSES}")
 ANALYSIS = f"(SELECT * FROM {COV_CLASSES} c JOIN {FACTS} f USING (country, domain) WHERE name IS NOT NULL)"
-oracle("analysis_table", ["v_docs", "v_scores", "v_routed"] + FACT_VIEWS, f"SELECT * FROM {ANALYSIS}")
+oracle("analysis_table", ["v_docs", "v_coded", "v_routed"] + FACT_VIEWS, f"SELECT * FROM {ANALYSIS}")
 
 # ---- quality + report ------------------------------------------------------------------------------------------------------
 
@@ -500,6 +568,6 @@ def _report_parts(row: str, group: str) -> list[str]:
     return parts
 
 
-oracle("analysis_report", ["v_docs", "v_scores", "v_routed"] + FACT_VIEWS,
+oracle("analysis_report", ["v_docs", "v_coded", "v_routed"] + FACT_VIEWS,
        f"WITH a AS MATERIALIZED (SELECT *, {_CN} AS country_name FROM {ANALYSIS}) "
        + " UNION ALL ".join(_report_parts("'Total'", "") + _report_parts("country_name", "GROUP BY country_name")))

@@ -224,6 +224,12 @@ view("v_scores", [], """
     FROM (SELECT doc_id, unnest(range(1, 5)) AS k FROM documents)""")
 
 
+view("v_coded", [], """
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'ger' ELSE lang END AS language, text,
+           CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 ELSE 3 END AS code
+    FROM documents JOIN labels USING (doc_id)""")
+
+
 def _facts_sheet(country: str) -> str:
     i = FX.COUNTRIES.index(country)
     sel = "(s_suppkey // 4)"

@@ -13,7 +13,7 @@ totals ``T_L`` and ``V`` enter as scalar subqueries.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,9 @@ OTHER, ERROR = "Other", "Error"
 MAX_BROADCAST_BYTES = 256 << 20
 GRAM_BYTES = 48                # a row's trigram and overhead, without scores
 
+# A text whose best language has a smaller share of the probability is undecided.
+MIN_POSTERIOR = 0.9
+
 
 def padded(text) -> F.Column:
     return F.concat(F.lit(" "), F.lower(collapse_ws(text)), F.lit(" "))
@@ -65,9 +68,15 @@ def wide_profile(profiles: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, languages: list[str],
-                    key: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
+                    key: str | list[str] = "doc_id", text_col: str = "text",
+                    min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """Add ``language`` (study label: eng / ger / Other; Error when no trigram
-    of the text is known) and ``detected`` (best profile language).
+    of the text is known, or when the text is undecided) and ``detected`` (best
+    profile language, null for Error).
+
+    With equal priors the best language's share of the probability is
+    ``1 / sum_L exp(score(d, L) - best score)``; below ``min_posterior``, ties
+    included, the text is undecided.
 
     A score is a sum over trigrams, so they are joined to the broadcast profile
     where they are read and summed per row before the only exchange, which
@@ -87,8 +96,9 @@ def detect_language(df: DataFrame, profiles: DataFrame, languages: list[str],
               .groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(f"lp_{lang}")).alias(f"s_{lang}")
                                     for lang in languages]))
     named = [F.struct(F.col(f"s_{lang}").alias("s"), F.lit(lang).alias("lang")) for lang in languages]
-    best = (F.greatest(*named) if len(named) > 1 else named[0])["lang"]
-    scored = scored.select(*keys, best.alias("detected"))
+    scored = scored.withColumn("_best", F.greatest(*named) if len(named) > 1 else named[0])
+    odds = reduce(add, [F.exp(F.col(f"s_{lang}") - F.col("_best.s")) for lang in languages])
+    scored = scored.select(*keys, F.when(1 / odds >= min_posterior, F.col("_best.lang")).alias("detected"))
     label = F.coalesce(*[F.when(F.col("detected") == k, F.lit(v)) for k, v in STUDY_LANGUAGES.items()],
                        F.lit(OTHER))
     blank = F.col(text_col).isNull() | (F.length(collapse_ws(F.col(text_col))) == 0)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import scratch_path, table
 
 COUNTRIES = ["ger", "usa", "uk", "ind"]           # index = key % 4
 ELITE_VALUES = ["Elite", " yes ", "1", "1.0", "no", None]
@@ -153,6 +153,29 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
                     (-((F.col("doc_id") * 7 + k * 13) % 97) / 50.0 - k / 1000.0).alias("logprob")))
 
 
+def hand_coded(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled documents as hand-coded texts: a concept code per text."""
+    lab, d = table(spark, sf, "labels"), table(spark, sf, "documents")
+    code = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 1).otherwise(3)
+    return (d.join(lab.select("doc_id", code.alias("code")), "doc_id")
+            .select("doc_id", study_language(F.col("lang")).alias("language"), "text", "code"))
+
+
+def study_language(lang):
+    return F.when(lang == "en", "eng").when(lang == "de", "ger").otherwise(lang)
+
+
+def keyword_files(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Two line lists of hundreds of keywords: the words of the benchmark texts with
+    6 to 8 letters (strict) and with 9 or more (compound)."""
+    words = (table(spark, sf, "benchmark")
+             .select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("value")).distinct())
+    paths = scratch_path(spark, "strict"), scratch_path(spark, "compound")
+    for path, lengths in zip(paths, ((6, 8), (9, 99))):
+        words.filter(F.length("value").between(*lengths)).coalesce(1).sort("value").write.text(path)
+    return paths
+
+
 def facts_sheet(spark: SparkSession, sf: str, country: str) -> DataFrame:
     """Supplier rows of one country as a sheet with positional, unnamed columns."""
     i = COUNTRIES.index(country)

@@ -173,6 +173,14 @@ def keyword_filter(spark, sf):
     return filtered(spark, sf)
 
 
+@query
+def keyword_file_hits(spark, sf):
+    """Keyword lists of hundreds of entries, read from line lists, found in the corpus."""
+    strict, compound = (files.read_keywords(spark, p) for p in FX.keyword_files(spark, sf))
+    return (keywords.keyword_hits(corpus(spark, sf), strict, compound)
+            .select("url", "order", F.array_join("keywords", ", ").alias("keywords")))
+
+
 @query
 def keyword_review_buckets(spark, sf):
     m = merged(spark, sf).select(F.array_join("keywords", ", ").alias("keywords"),
@@ -200,7 +208,7 @@ def keyword_hits_by_domain(spark, sf):
 # ---- crawl bookkeeping ---------------------------------------------------------------------
 
 from ..functions import repair  # noqa: E402
-from ..operators import (agreement, classes, coverage, facts, language, report,  # noqa: E402
+from ..operators import (agreement, classes, classify, coverage, facts, language, report,  # noqa: E402
                          sampling, scores)
 from ..session import scratch_path  # noqa: E402
 from ..sources import files  # noqa: E402
@@ -346,6 +354,19 @@ def detect_language(spark, sf):
     return detected(spark, sf).select("doc_id", "lang", "detected", "language")
 
 
+@query
+def language_accuracy(spark, sf):
+    """Detection of a third of the documents with profiles of the other two."""
+    d = FX.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = classify.held_out(F.col("doc_id"))
+    prof = files.materialise(spark, language.language_profiles(d.filter(~out)), "profiles")
+    langs = sorted(r[0] for r in prof.select("lang").distinct().collect())
+    found = language.detect_language(d.filter(out), prof, langs)
+    return (found.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"),
+                                      F.count_if(F.col("detected") == F.col("lang")).alias("right"),
+                                      F.count_if(F.col("detected").isNull()).alias("undecided")))
+
+
 @query
 def filter_language(spark, sf):
     return language.filter_language(detected(spark, sf)).select("doc_id", "language")
@@ -414,12 +435,40 @@ def study_texts(spark, sf):
             .select("doc_id", "country", "domain", "url", "order", "keywords", "language", "text"))
 
 
+# ---- classification: a model per language from the hand-coded rows ------------------------------
+
+def word_models(spark, sf, coded=None):
+    coded = FX.hand_coded(spark, sf) if coded is None else coded
+    return (files.materialise(spark, classify.word_model(coded), "word-model"), classify.priors(coded))
+
+
+@query
+def class_scores(spark, sf):
+    """Probabilities of the classes for every document."""
+    d = FX.table(spark, sf, "documents").select("doc_id", FX.study_language(F.col("lang")).alias("language"), "text")
+    s = classify.class_scores(d, *word_models(spark, sf), ["doc_id"])
+    return s.select("doc_id", "token", (F.round("logprob", 4) + 0.0).alias("logprob"))
+
+
+@query
+def class_accuracy(spark, sf):
+    """Classes of a third of the hand-coded texts by models of the other two."""
+    coded, out = FX.hand_coded(spark, sf), classify.held_out(F.col("doc_id"))
+    test = coded.filter(out)
+    s = classify.class_scores(test, *word_models(spark, sf, coded.filter(~out)), ["doc_id"])
+    best = scores.topk_scores(s, k=1).select("doc_id", F.col("token").cast("int").alias("found"))
+    return (test.join(best, "doc_id").groupBy("language")
+            .agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("found") == F.col("code")).alias("right")))
+
+
 # ---- classes --------------------------------------------------------------------------------
 
 def scored(spark, sf, study=None):
+    """Study rows with the classes that the models of their languages give them."""
     rows = (study_table(spark, sf) if study is None else study)
-    return classes.attach_scores(rows.select("doc_id", "language", "country", "domain", "url", "text"),
-                                 wide(spark, sf))
+    s = classify.class_scores(rows, *word_models(spark, sf), ["doc_id"])
+    wide = scores.scores_wide(scores.decode_tokens(scores.topk_scores(s)))
+    return classes.attach_scores(rows.select("doc_id", "language", "country", "domain", "url", "text"), wide)
 
 
 @query

@@ -70,6 +70,17 @@ def read_line_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(strip_ws(F.col("value")).alias("value")).filter(F.col("value") != "")
 
 
+def read_keywords(spark: SparkSession, path: str) -> list[str]:
+    """A line list as a parameter of a job: its distinct entries in the order of
+    its lines, files by name.  It is collected, so it must fit the driver, as the
+    pattern made of it does."""
+    lines = spark.read.text(path).select(
+        strip_ws(F.col("value")).alias("value"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    rows = lines.filter(F.col("value") != "").orderBy("file", "block", "line").collect()
+    return list(dict.fromkeys(r.value for r in rows))
+
+
 def union_countries(parts: dict[str, DataFrame], col: str = "country") -> DataFrame:
     """Tag each input with its country and stack them by column name."""
     tagged = [df.withColumn(col, F.lit(c)) for c, df in parts.items()]
@@ -80,6 +91,11 @@ def relabel(df: DataFrame, mapping: dict[str, str], col: str) -> DataFrame:
     return df.replace(mapping, subset=[col])
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of ``df``, for a written table from its files; no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back.
 
