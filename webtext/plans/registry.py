@@ -238,12 +238,12 @@ def resume_append(spark, sf):
     """Two resumable runs over landing response files: first the URLs that
     were already done, then all; every URL is stored exactly once."""
     resp = FX.responses(spark, sf).select("url", "status", "content_type", "final_url", "html")
-    landing, good, bad, ckpt = (scratch_path(spark, n) for n in ("landing", "good", "bad", "ckpt"))
+    landing, good, bad, seen, ckpt = (scratch_path(spark, n) for n in ("landing", "good", "bad", "seen", "ckpt"))
     done = FX.done_urls(spark, sf)
     resp.join(done, "url", "left_semi").write.mode("append").parquet(landing)
-    crawl_stream.run_once(spark, landing, resp.schema, good, bad, ckpt)
+    crawl_stream.run_once(spark, landing, resp.schema, good, bad, seen, ckpt)
     resp.write.mode("append").parquet(landing)
-    crawl_stream.run_once(spark, landing, resp.schema, good, bad, ckpt)
+    crawl_stream.run_once(spark, landing, resp.schema, good, bad, seen, ckpt)
     return crawl_stream.stored_results(spark, good, bad)
 
 
