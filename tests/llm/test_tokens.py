@@ -127,3 +127,27 @@ def test_token_files(spark, edge, sample, none, tmp_path):
         assert got == want
     manifest = t.write_token_files(none, f"file://{tmp_path}/none", path, "word")
     assert t.read_token_files(manifest).count() == 0
+
+
+def test_ranges_count_the_cuts_below():
+    rng = np.random.default_rng(4)
+    curve, ids = rng.integers(0, 6, 500), rng.integers(-5, 5, 500)
+    cuts = sorted(zip(rng.integers(0, 6, 40).tolist(), rng.integers(-5, 5, 40).tolist()))
+    got = p.range_of(curve, ids, np.array([c for c, _ in cuts]), np.array([i for _, i in cuts]))
+    assert got.tolist() == [sum(c < k for c in cuts) for k in zip(curve.tolist(), ids.tolist())]
+
+
+def test_ranges_hold_equal_numbers_of_tokens(spark, monkeypatch):
+    """Long texts lie together on the curve, a third of the rows are copies, and
+    some have neither id nor text."""
+    monkeypatch.setattr(p, "RANGE_TOKENS", 20_000)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    data = [(i, " ".join(words[(i * 7 + j * j) % 6] for j in range(2000 if i % 20 == 0 else 40))) for i in range(1200)]
+    data += [(2000 + i, "the same text " * 20) for i in range(600)] + [(None, None)] * 50
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    rows = p.saved(p.tokenized(df, tokenizer_path("byte_bpe_50k.json"), "byte"), "spread")
+    parts = {r.part: (r.t, r.c) for r in p.by_range(rows).groupBy("part").agg(
+        p.F.sum("n").alias("t"), p.F.count("n").alias("c")).collect()}
+    tokens = [t for t, _ in parts.values()]
+    assert sum(c for _, c in parts.values()) == len(data) and len(tokens) >= 8
+    assert max(tokens) <= 1.3 * sum(tokens) / len(tokens)

@@ -3,9 +3,10 @@
 Each document becomes token ids (with an end id) and a hashed bag-of-tokens
 vector, projected to ``DIMENSIONS`` coordinates.  Their Hilbert index orders the
 documents so that neighbours on the curve are alike; a range sort by
-``(index, doc_id)`` deals the curve out, and every partition lays its stretch of
-the curve end to end into sequences of ``length`` tokens, cutting documents
-where a sequence is full.  What is left at the end of a stretch fills sequences
+``(index, doc_id)`` deals the curve out in ranges of about equal numbers of tokens
+(long documents lie together on the curve, so ranges of equal numbers of rows would
+not do), and every range lays its stretch of the curve end to end into sequences
+of ``length`` tokens, cutting documents where a sequence is full.  What is left at the end of a stretch fills sequences
 whose lengths are the binary digits of the rest: powers of two need no padding,
 so no sequence is padded at all.
 
@@ -23,12 +24,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import spark_partition_id
 
-from .common import on_workers, plain, saved
+from .common import id_key, on_workers, partitions, plain, saved
 from .tokenizing import encoder
 
 LENGTH = 1024
@@ -36,6 +37,10 @@ END_ID = 0
 #: Buckets of the hashed vector, coordinates it is projected to, bits of each.
 BUCKETS, DIMENSIONS, BITS = 512, 4, 12
 _SEED = 20240229
+#: Tokens of a range of the curve, and the most ranges; beyond, ranges grow.
+RANGE_TOKENS, MAX_RANGES = 1 << 22, 1 << 15
+#: Documents drawn per range to find the cuts.
+SAMPLES = 100
 
 
 def _projection() -> np.ndarray:
@@ -82,7 +87,8 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, kind: str, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, curve, ids``: ids with the end id, packed to 16 or 32 bits."""
+    """``doc_id, curve, ids, width, n``: ids with the end id, packed to 16 or 32
+    bits, and their number."""
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +103,55 @@ def tokenized(docs: DataFrame, path: str, kind: str, end_id: int = END_ID) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(hilbert_index(cells), pa.int64()),
                      pa.array([i.astype(width).tobytes() for i in ids], pa.binary()),
-                     pa.array([width] * len(ids), pa.string())], ["doc_id", "curve", "ids", "width"])
+                     pa.array([width] * len(ids), pa.string()),
+                     pa.array([len(i) for i in ids], pa.int64())], ["doc_id", "curve", "ids", "width", "n"])
 
-    return plain(docs).mapInArrow(run, "doc_id long, curve long, ids binary, width string")
+    return plain(docs).mapInArrow(run, "doc_id long, curve long, ids binary, width string, n long")
+
+
+def range_cuts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys ``(curve, doc_id)`` that cut ``rows`` into ranges of about equal numbers
+    of tokens, and the number of ranges.
+
+    A document is drawn with a chance in proportion to its tokens, by a hash of its
+    key; one longer than the step between draws is always drawn, with its own
+    weight.  So about ``SAMPLES`` keys per range, repeated rows once, come to the
+    driver, at most 80 MB of them; the ids are not read for it."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    ranges = min(MAX_RANGES, max(1, -(-total // RANGE_TOKENS), min(partitions(rows.sparkSession), total >> 16)))
+    step = max(1.0, total / (SAMPLES * ranges))
+    chance = F.pmod(F.xxhash64("doc_id", "curve"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = (rows.select("curve", id_key().alias("id"), "n", chance.alias("u")).filter(F.col("u") * step < F.col("n"))
+             .groupBy("curve", "id").agg(F.sum(F.greatest(F.col("n"), F.lit(step))).alias("weight")).toArrow())
+    curve, ids, weight = (drawn.column(c).to_numpy() for c in ("curve", "id", "weight"))
+    order = np.lexsort((ids, curve))
+    before = np.cumsum(weight[order])
+    if not len(order):
+        return curve, ids, 1
+    at = order[np.searchsorted(before, before[-1] * np.arange(1, ranges) / ranges)]
+    return curve[at], ids[at], ranges
+
+
+def range_of(curve: np.ndarray, ids: np.ndarray, cut_curve: np.ndarray, cut_ids: np.ndarray) -> np.ndarray:
+    """How many cuts, which are sorted, are below each key."""
+    low, high = np.searchsorted(cut_curve, curve, "left"), np.searchsorted(cut_curve, curve, "right")
+    out = low.astype(np.int32)
+    for a, b in set(zip(low[low < high].tolist(), high[low < high].tolist())):
+        same = (low == a) & (high == b)
+        out[same] += np.searchsorted(cut_ids[a:b], ids[same], "left").astype(np.int32)
+    return out
+
+
+def by_range(rows: DataFrame) -> DataFrame:
+    """``rows`` in partitions that are ranges of the curve, sorted, with ``part``."""
+    cut_curve, cut_ids, ranges = range_cuts(rows)
+
+    def run(curve: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series(range_of(curve.to_numpy(), ids.to_numpy(), cut_curve, cut_ids))
+
+    part = F.pandas_udf(run, "int")("curve", id_key())
+    return (rows.withColumn("part", part).repartitionById(ranges, F.col("part"))
+            .sortWithinPartitions("curve", "doc_id").withColumn("part", F.col("part").cast("long")))
 
 
 def tail_lengths(n: int) -> list[int]:
@@ -112,10 +164,7 @@ def pack(docs: DataFrame, path: str, kind: str, length: int = LENGTH, end_id: in
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, curve`` (and ``ids``, the piece's ids as 32-bit
     integers, where asked for).  Sequence ids are unique, not consecutive."""
-    spark = docs.sparkSession
-    rows = (saved(tokenized(docs, path, kind, end_id), "packing")
-            .repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-            .withColumn("part", spark_partition_id().cast("long")))
+    rows = by_range(saved(tokenized(docs, path, kind, end_id), "packing"))
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
              ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("curve", pa.int64())]
     if with_ids:
