@@ -19,6 +19,32 @@ def test_elias_fano():
         assert (place == np.searchsorted(v, asked)).all() and (there == np.isin(asked, v)).all()
 
 
+def test_an_opened_sequence_stays_mapped(tmp_path):
+    """Opening and asking keep no copy: a million values, under 6 MB on disk, ask for
+    less than 0.1 MB on opening."""
+    import tracemalloc
+    v = np.sort(np.random.default_rng(1).integers(0, 2 ** 45, 1_000_000, dtype=np.uint64))
+    raw = EliasFano.encode(v)
+    assert len(raw) < 1_000_000 * (2 + 26 + 1) / 8
+    (tmp_path / "level").write_bytes(raw)
+    mapped = np.memmap(tmp_path / "level", np.uint8, "r")
+    tracemalloc.start()
+    e = EliasFano(mapped)
+    opened = tracemalloc.get_traced_memory()[0]
+    place, there = e.successor(v[::50_000])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert opened < 100_000 and held < 200_000 and there.all() and (v[place] == v[::50_000]).all()
+    for part in (e.ones, e.zeros, e.bits, e.lows):
+        assert np.shares_memory(part, mapped)
+
+
+def test_shards_by_tokens(sample):
+    rows = lambda **k: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6))
+                              for r in lm.score(sample, size=20000, **k).collect())
+    assert rows(shard_tokens=3000) == rows()
+
+
 def test_codes_round_down():
     p = 10.0 ** np.linspace(-7.9, 0, 500)
     r = restore(quantise(p))

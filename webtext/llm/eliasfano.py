@@ -1,9 +1,10 @@
 """Elias-Fano sequences and a two-level n-gram trie over memory-mapped levels.
 
 An Elias-Fano sequence holds n non-decreasing integers below u in about
-``2 + log2(u / n)`` bits each: the low bits packed, the high bits in unary.
-Searches are vectorised: the unary part gives each query's bucket, a binary
-search over the packed low bits finds the successor inside it.
+``2 + log2(u / n)`` bits each: the low bits packed, the high bits in unary, with
+a directory of a quarter bit for each unary bit.  Searches are vectorised and read
+the mapped bytes: the unary part gives each query's bucket, a binary search over
+the packed low bits finds the successor inside it.
 """
 
 from __future__ import annotations
@@ -39,10 +40,25 @@ def fixed_at(raw: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
     return (out >> shift) & _U64((1 << bits) - 1)
 
 
+def _words(raw: np.ndarray) -> np.ndarray:
+    return raw.view("<u8")
+
+
+def _padded(raw: bytes) -> bytes:
+    """Up to a multiple of 8 bytes, so that mapped integers stay aligned."""
+    return raw + b"\0" * (-len(raw) % 8)
+
+
 class EliasFano:
-    """``buffer`` holds what :meth:`encode` made; it may be memory-mapped."""
+    """``buffer`` holds what :meth:`encode` made; it may be memory-mapped.
+    Opening it reads the header alone.  Beside the unary bits lies a directory:
+    for each block of ``BLOCK`` bits, the ones and the zeros before it.  The k-th
+    one or zero is found by a search of the directory and a count inside one
+    block, so nothing is unpacked but the blocks that a query touches."""
 
     MAX_LOW = 57          # low bits that one unaligned 8-byte window can hold
+    BLOCK = 512
+    SLICE = 1 << 14       # queries whose blocks are looked at together
 
     @classmethod
     def encode(cls, values: np.ndarray) -> bytes:
@@ -51,33 +67,59 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         low = min(cls.MAX_LOW, max(0, ((top + 1) // max(1, n)).bit_length() - 1))
         high = (values >> _U64(low)).astype(np.int64)
-        bits = np.zeros(n + (top >> low) + 1, np.uint8)
+        n_bits = n + (top >> low) + 1
+        blocks = -(-n_bits // cls.BLOCK)
+        bits = np.zeros(blocks * cls.BLOCK, np.uint8)
         bits[high + np.arange(n)] = 1
+        ones = np.cumsum(bits.reshape(blocks, cls.BLOCK).sum(axis=1, dtype=np.int64)) if blocks else np.zeros(0, np.int64)
+        ones = np.concatenate([[0], ones]).astype("<u8")
+        zeros = (np.arange(blocks + 1) * cls.BLOCK - ones.astype(np.int64)).astype("<u8")
         lows = pack_fixed(values & _U64((1 << low) - 1), low)
-        return struct.pack("<QQQ", n, low, len(bits)) + np.packbits(bits, bitorder="little").tobytes() + lows + b"\0" * 8
+        return b"".join([struct.pack("<QQQ", n, low, n_bits), ones.tobytes(), zeros.tobytes(),
+                         np.packbits(bits, bitorder="little").tobytes(), _padded(lows + b"\0" * 8)])
 
     def __init__(self, buffer: np.ndarray) -> None:
         self.n, self.low, n_bits = struct.unpack("<QQQ", buffer[:24].tobytes())
-        end = 24 + -(-n_bits // 8)
-        bits = np.unpackbits(buffer[24:end], count=n_bits, bitorder="little")
-        zeros = np.flatnonzero(bits == 0)
-        # values with a smaller high part, for each high part
-        self.begin = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int64)
-        if len(self.begin) < n_bits - self.n + 1:
-            self.begin = np.append(self.begin, self.n)
-        self.begin = np.append(self.begin, self.n)
-        self.lows = buffer[end:]
+        self.highs = n_bits - self.n               # high parts that occur or lie below one that does
+        blocks = -(-n_bits // self.BLOCK)
+        ends = np.cumsum([24, 8 * (blocks + 1), 8 * (blocks + 1), blocks * self.BLOCK // 8])
+        self.ones, self.zeros, self.bits = (_words(buffer[x:y]) for x, y in zip(ends, ends[1:]))
+        self.lows = buffer[ends[-1]:]
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Places of the k-th ones or zeros among the unary bits."""
+        directory, out = (self.ones if one else self.zeros), np.empty(len(k), np.int64)
+        for at in range(0, len(k), self.SLICE):
+            want = k[at:at + self.SLICE].astype(_U64)
+            block = np.searchsorted(directory, want, side="right") - 1
+            left = (want - directory[block]).astype(np.int64)
+            words = self.bits[block[:, None] * (self.BLOCK // 64) + np.arange(self.BLOCK // 64)]
+            words = words if one else ~words
+            upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+            word, rows = (upto <= left[:, None]).sum(axis=1), np.arange(len(left))
+            left -= np.where(word > 0, upto[rows, word - 1], 0)
+            set_ = np.unpackbits(np.ascontiguousarray(words[rows, word]).astype("<u8").view(np.uint8).reshape(-1, 8),
+                                 axis=1, bitorder="little")
+            bit = (np.cumsum(set_, axis=1, dtype=np.int64) <= left[:, None]).sum(axis=1)
+            out[at:at + self.SLICE] = block * self.BLOCK + word * 64 + bit
+        return out
+
+    def _begin(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a smaller high part; 0 <= ``high`` <= ``highs``."""
+        out, later = np.zeros(len(high), np.int64), np.flatnonzero(high > 0)
+        out[later] = self._select(high[later] - 1, False) - (high[later] - 1)
+        return out
 
     def at(self, places: np.ndarray) -> np.ndarray:
-        high = (np.searchsorted(self.begin, places, side="right") - 1).astype(_U64)
+        places = np.asarray(places, np.int64)
+        high = (self._select(places, True) - places).astype(_U64)
         return (high << _U64(self.low)) | fixed_at(self.lows, places, self.low)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first value >= x, whether that value equals x)."""
         x = x.astype(_U64)
-        high = np.minimum(x >> _U64(self.low), _U64(len(self.begin) - 2)).astype(np.int64)
-        beyond = (x >> _U64(self.low)) > _U64(len(self.begin) - 2)
-        lo, hi = self.begin[high].copy(), self.begin[high + 1].copy()
+        high = np.minimum(x >> _U64(self.low), _U64(self.highs)).astype(np.int64)
+        lo, hi = self._begin(high), self._begin(np.minimum(high + 1, self.highs))
         stop, want = hi.copy(), x & _U64((1 << self.low) - 1)
         while True:
             open_ = np.flatnonzero(lo < hi)
@@ -87,10 +129,10 @@ class EliasFano:
             less = fixed_at(self.lows, mid, self.low) < want[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        inside = np.flatnonzero((lo < stop) & ~beyond)
+        inside = np.flatnonzero(lo < stop)
         equal = np.zeros(len(x), bool)
         equal[inside] = fixed_at(self.lows, lo[inside], self.low) == want[inside]
-        return np.where(beyond, self.n, lo), equal
+        return lo, equal
 
 
 #: Probabilities are kept as 8-bit codes, even steps of their logarithm; 0: none.
@@ -129,7 +171,7 @@ class Trie:
     def write(cls, path: str, words: np.ndarray, counts: np.ndarray, begin: np.ndarray,
               children: np.ndarray, codes: np.ndarray, reach: float = RANGE) -> None:
         parts = [EliasFano.encode(words), counts.astype("<u8").tobytes(), EliasFano.encode(begin),
-                 EliasFano.encode(children), codes.astype(np.uint8).tobytes()]
+                 EliasFano.encode(children), _padded(codes.astype(np.uint8).tobytes())]
         with open(path, "wb") as f:
             f.write(struct.pack("<5Qd", *map(len, parts), reach))
             for p in parts:
@@ -140,7 +182,7 @@ class Trie:
         *sizes, self.reach = struct.unpack("<5Qd", raw[:48].tobytes())
         ends = np.cumsum([48, *sizes])
         a, b, c, d, e = (raw[x:y] for x, y in zip(ends, ends[1:]))
-        self.words, self.counts, self.begin = EliasFano(a), np.frombuffer(b.tobytes(), "<u8"), EliasFano(c)
+        self.words, self.counts, self.begin = EliasFano(a), _words(b), EliasFano(c)
         self.children, self.codes = EliasFano(d), e
 
     def find(self, words: np.ndarray) -> np.ndarray:
@@ -172,6 +214,7 @@ class MappedTrie:
         fd, self.path = tempfile.mkstemp(suffix=".trie")
         os.close(fd)
         Trie.write(self.path, *self.levels, self.reach)
+        del self.levels
         return Trie(self.path)
 
     def __exit__(self, *_) -> None:

@@ -17,6 +17,8 @@ context.
     context's shard.  The few contexts that hold more than a 1/``HOT``-th of the
     tokens are split over all shards by their next word; there are at most
     2 * ``HOT`` of these, whose counts are broadcast.
+    There are as many shards as shuffle partitions, or more, so that none stands for
+    over ``SHARD_TOKENS`` tokens.
 3.  A shard adds up its messages, builds its trie, maps it into memory and
     answers every message from it: counts of words, codes of smoothed
     probabilities of pairs, in the message's order.
@@ -50,6 +52,8 @@ DISCOUNT = 0.75
 #: Tokens of a chunk; a longer document is a chunk of its own.
 CHUNK = 2_000_000
 HOT = 1000
+#: A shard stands for at most so many tokens of the corpus.
+SHARD_TOKENS = 32_000_000
 END = xxhash.xxh64_intdigest(b"\n", 0)      # white space is never part of a word
 _CHILD = np.uint64((1 << Trie.CHILD_BITS) - 1)
 
@@ -132,11 +136,14 @@ class Layout:
                                    (self.home[self.first] + nxt[self.second]) % shards, self.home[self.first])
         self.pair_order = np.argsort(self.pair_shard, kind="stable")
         self.pair_cuts = np.searchsorted(self.pair_shard[self.pair_order], np.arange(shards + 1))
+        self.word_order = np.argsort(self.home, kind="stable")
+        self.word_cuts = np.searchsorted(self.home[self.word_order], np.arange(shards + 1))
 
     def of_shard(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the shard's words (all contexts of its pairs too) and pairs."""
         pairs = self.pair_order[self.pair_cuts[shard]:self.pair_cuts[shard + 1]]
-        words = np.union1d(np.flatnonzero(self.home == shard), self.first[pairs])
+        own = self.word_order[self.word_cuts[shard]:self.word_cuts[shard + 1]]
+        words = np.union1d(own, self.first[pairs])
         return words, pairs
 
     def message(self, shard: int) -> tuple[bytes, ...]:
@@ -188,11 +195,9 @@ def hot_words(parts: DataFrame, share: int = HOT) -> dict[int, int]:
     return {r.word: r.n for r in exact}
 
 
-def answer(t: pa.Table, hot: dict[int, int], shard: int) -> Iterator[tuple]:
-    """Build the shard's trie from all of its messages; answer each of them.
-    Yields (chunk, word counts, children counts, pair codes, their range) and, in the first
-    row, what is told once per shard: distinct words, hot contexts, their children."""
-    messages = [_Message(*row) for row in zip(*(t.column(c).to_pylist() for c in _MESSAGE))]
+def _levels(messages: list[_Message], hot: dict[int, int]) -> tuple[MappedTrie, tuple]:
+    """The shard's trie from all of its messages, and what is told once per
+    shard: distinct words, hot contexts, their children."""
     words, at = np.unique(np.concatenate([m.words for m in messages]), return_inverse=True)
     counts = np.bincount(at, np.concatenate([m.counts for m in messages]), len(words)).astype(np.int64)
     if len(words) >= 1 << (64 - Trie.CHILD_BITS):
@@ -200,10 +205,10 @@ def answer(t: pa.Table, hot: dict[int, int], shard: int) -> Iterator[tuple]:
     cuts = np.cumsum([0, *(len(m.words) for m in messages)])
     key = np.concatenate([(at[a:b][m.context].astype(np.uint64) << np.uint64(Trie.CHILD_BITS)) | m.children
                           for m, a, b in zip(messages, cuts, cuts[1:])])
-    seen = np.concatenate([m.pair_counts for m in messages]) > 0
-    pair_counts = np.concatenate([m.pair_counts for m in messages])[seen]
+    pair_counts = np.concatenate([m.pair_counts for m in messages])
+    seen = pair_counts > 0
     key, place = np.unique(key[seen], return_inverse=True)
-    pair_counts = np.bincount(place, pair_counts, len(key))
+    pair_counts = np.bincount(place, pair_counts[seen], len(key))
     context = (key >> np.uint64(Trie.CHILD_BITS)).astype(np.int64)
     of_context = counts.copy()
     split = np.flatnonzero(np.isin(words.view(np.int64), np.array(sorted(hot), np.int64)))
@@ -213,21 +218,34 @@ def answer(t: pa.Table, hot: dict[int, int], shard: int) -> Iterator[tuple]:
     begin = np.searchsorted(context, np.arange(len(words) + 1))
     told = (int((counts > 0).sum()), words[split].view(np.int64).tolist(),
             (begin[split + 1] - begin[split]).tolist())
-    names = t.column("chunk").to_pylist()
     reach = decades(p)       # 0.25 / c(h) or more: grows with the counts, so no code is rounded up
-    with MappedTrie(words, counts, begin, key, quantise(p, reach), reach=reach) as trie:
-        for i, (name, m) in enumerate(zip(names, messages)):
+    return MappedTrie(words, counts, begin, key, quantise(p, reach), reach=reach), told
+
+
+def answer(t: pa.Table, hot: dict[int, int], shard: int) -> Iterator[tuple]:
+    """Build the shard's trie from all of its messages; answer each of them.
+    Yields (chunk, word counts, children counts, pair codes, their range) and, in the first
+    row, what is told once per shard.  While it answers, the trie is mapped and only
+    one message is open."""
+    rows = [t.column(c) for c in _MESSAGE]
+    opened = lambda i: _Message(*(c[i].as_py() for c in rows))
+    mapped, told = _levels([opened(i) for i in range(t.num_rows)], hot)
+    with mapped as trie:
+        for i, name in enumerate(t.column("chunk").to_pylist()):
+            m = opened(i)
             number = trie.find(m.words)
             yield (name, trie.counts[number].astype("<u8").tobytes(), trie.n_children(number).astype("<u4").tobytes(),
                    trie.child_codes(number[m.context], m.children).tobytes(), trie.reach,
                    *(told if i == 0 else (0, [], [])))
 
 
-def score(docs: DataFrame, held=held_out, size: int = CHUNK, hot_share: int = HOT) -> DataFrame:
+def score(docs: DataFrame, held=held_out, size: int = CHUNK, hot_share: int = HOT,
+          shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
-    shards = partitions(spark)
     parts = saved(chunks(docs, held, size), "lm-chunks")
+    tokens = parts.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    shards = max(partitions(spark), -(-tokens // shard_tokens))
     hot_counts = hot_words(parts, hot_share)
     hot = np.sort(np.array(list(hot_counts), np.int64).view(np.uint64))
 
@@ -251,7 +269,7 @@ def score(docs: DataFrame, held=held_out, size: int = CHUNK, hot_share: int = HO
                          "hot": pa.array(cols[6], pa.list_(pa.int64())), "hot_n": pa.array(cols[7], pa.list_(pa.int64()))})
 
     sent = parts.mapInArrow(send, "shard int, chunk string, " + ", ".join(f"{n} binary" for n in _MESSAGE))
-    replies = saved(sent.groupBy("shard").applyInArrow(
+    replies = saved(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(
         reply, "chunk string, shard int, counts binary, followers binary, codes binary, reach double, distinct long, "
                "hot array<long>, hot_n array<long>"), "lm-answers")
 
