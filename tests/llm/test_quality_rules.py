@@ -87,6 +87,54 @@ def test_line_rules(spark):
     assert verdict == {1: False, 2: False, 3: False}      # one sentence eight times
 
 
+MARK = "[.!?;:,\u2026\u037e\u0387\u060c\u061b\u061f\u06d4\u0964\u0965\u3001\u3002\uff0c\uff1a\uff1b\uff01\uff1f]"
+BAR = "[|\u00b7\u00bb\u00ab\u203a\u2039\u2192\u2022]"
+GAP = "[\\s|/\u00b7\u00bb\u00ab\u203a\u2039\u2192\u2022\u2013-]"
+ENTRIES = "(?:" + "|".join(x for v in r.NAVIGATION.values() for x in v) + ")"
+NOTICE = re.compile("(?i)(?<![^\\W\\d_])(?:" + "|".join(x for v in r.NOTICES.values() for x in v) + ")")
+
+
+def brute_fails(line):
+    w = W.findall(line)
+    n, chars = len(w), sum(map(len, w))
+    return (100 * len(re.findall(r"[#*$%&|<>]", line)) > 10 * chars
+            or (n >= 8 and 100 * len(re.findall(MARK, line)) < n)
+            or (n >= 4 and 4 * line.count("!!") > n)
+            or (len(re.findall(BAR, line)) >= 2 and 5 * len(re.findall(BAR, line)) > n)
+            or (0 < n <= 16 and re.search(f"(?i)^{GAP}*{ENTRIES}(?:{GAP}+{ENTRIES})*{GAP}*$", line) is not None)
+            or (n <= 40 and NOTICE.search(line) is not None))
+
+
+def brute_kept(text):
+    lost = sum(len(w) for x in (text or "").split("\n") if brute_fails(x) for w in W.findall(x))
+    n_words, chars, *_, failed = brute(text)
+    return lost, not failed and 100 * lost <= 50 * chars
+
+
+def test_verdict_and_remaining_text_against_brute_force(edge, sample):
+    for df in (edge, sample):
+        got = sorted(((x.doc_id, x.lost_chars, x.kept) for x in r.judge(df).collect()), key=repr)
+        assert got == sorted(((x.doc_id, *brute_kept(x.text)) for x in df.collect()), key=repr)
+        left = sorted(((x.doc_id, x.text) for x in r.keep_clean(df).select("doc_id", "text").collect()), key=repr)
+        assert left == sorted(((x.doc_id, "\n".join(y for y in x.text.split("\n") if not brute_fails(y)))
+                               for x in df.collect() if brute_kept(x.text)[1]), key=repr)
+
+
+def test_lines_of_four_languages(spark):
+    bad = ["Startseite Kontakt Impressum Datenschutz", "Alle Rechte vorbehalten", "Wir verwenden Cookies", "Mentions légales",
+           "Home About Contact Jobs", "Inicio · Contacto · Aviso legal", "Accueil / À propos / Plan du site",
+           "TODOS LOS DERECHOS RESERVADOS", "Tous droits réservés", "Über uns", " ".join(["wort"] * 20),
+           " ".join(["word"] * 200) + ","]
+    good = ["The Great Gatsby", "Contact with the enemy was lost.", "Die Startseite wurde neu gestaltet.", "Aide-toi, le ciel t'aidera.",
+            "Er verwendet sein Geld.", "一行中文文本。", "1. Introduction", GOOD, "", " ", "Home is where the heart is."]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(bad + good)], "doc_id long, text string")
+    lost = {x.doc_id: x.lost_chars for x in r.judge(df).collect()}
+    assert [x for i, x in enumerate(bad) if not lost[i]] == []
+    assert [x for i, x in enumerate(good, len(bad)) if lost[i]] == []
+    bare = "\n".join(" ".join(f"w{i}x{k}" for k in range(20)) for i in range(30))
+    assert r.judge(spark.createDataFrame([(1, bare)], "doc_id long, text string")).filter("kept").count() == 0
+
+
 def test_rejects_by_lost_text_only(spark):
     many = "\n".join(f"{a} sentence number {i} tells of {b} and ends {c}." for i, (a, b, c) in enumerate(
         (f"w{i}a", f"w{i}b", f"w{i}c") for i in range(30)))
@@ -101,4 +149,6 @@ def test_native_and_columns(edge, sample):
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     kept = r.keep_clean(sample)
     assert kept.schema == sample.schema
+    if "n_chars" in kept.columns:
+        assert kept.filter("n_chars <> length(text)").count() == 0
     assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in r.judge(sample).filter("kept").collect()}

@@ -10,7 +10,8 @@ document costs n log n; most documents hold no repeated window and skip that.
 
 Defined results: a null, empty or all-white text has no words, which fails the
 base rule (fewer than ``MIN_WORDS`` words), so it is not kept; a text without
-line breaks is one line.
+line breaks is one line.  The rules know the menus and notices of four languages
+(``NAVIGATION``, ``NOTICES``); the other rules need no words.
 """
 
 from __future__ import annotations
@@ -27,18 +28,60 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
 #: A line with more than this share of symbols among its word characters fails.
 MAX_SYMBOL_PERCENT = 10
-#: A line of at least ``BARE_WORDS`` words needs a sentence mark for each ``MAX_BARE_WORDS`` words.
-BARE_WORDS, MAX_BARE_WORDS = 40, 400
+#: A line of at least ``BARE_WORDS`` words needs a mark, and one for each ``MAX_BARE_WORDS`` words.
+BARE_WORDS, MAX_BARE_WORDS = 8, 100
+#: Navigation entries without a mark stand on lines of at most so many words,
+#: boilerplate notices on lines of at most so many.
+NAVIGATION_WORDS, NOTICE_WORDS = 16, 40
 
 _WS = r"[\x20\x09-\x0D]+"
 _SYMBOL = r"[#*$%&|<>]"
-_SENTENCE_MARK = r"[.!?;:,\x{3002}\x{FF0C}\x{2026}]"
+#: Marks of clauses and sentences in Latin, Greek, Arabic, Indic and East Asian writing.
+_SENTENCE_MARK = (r"[.!?;:,\x{2026}\x{037E}\x{0387}\x{060C}\x{061B}\x{061F}\x{06D4}\x{0964}\x{0965}"
+                  r"\x{3001}\x{3002}\x{FF0C}\x{FF1A}\x{FF1B}\x{FF01}\x{FF1F}]")
 #: Bars, arrows, bullets and chevrons between short entries.
-_NAVIGATION_MARK = r"[|\x{00BB}\x{00AB}\x{203A}\x{2039}\x{2192}\x{2022}]"
-_NAVIGATION_LINE = (r"(?i)^\s*(home|menu|search|log ?in|sign (in|up)|register|next( page)?|previous( page)?|"
-                    r"back to top|skip to (main )?content|read more|share( this)?|contact( us)?|about( us)?)\s*$")
-_BOILERPLATE = (r"(?i)(all rights reserved|cookie (policy|settings|notice)|we use cookies|uses cookies|privacy policy|"
-                r"terms (of use|of service|and conditions)|enable javascript|subscribe to our|lorem ipsum)")
+_NAVIGATION_MARK = r"[|\x{00B7}\x{00BB}\x{00AB}\x{203A}\x{2039}\x{2192}\x{2022}]"
+
+# --- fixed values: entries of menus and words of notices, by language ------
+NAVIGATION = {
+    "en": ["home", "menu", "search", "log ?in", "log ?out", "sign (in|up|out)", "register", "next( page)?",
+           "previous( page)?", "back to top", "skip to (main )?content", "read more", "share( this)?", "contact( us)?",
+           "about( us)?", "jobs", "careers", "imprint", "privacy", "terms", "sitemap", "help", "news", "faq", "blog", "shop"],
+    "de": ["startseite", "menü", "suche", "suchen", "anmelden", "abmelden", "registrieren", "weiter", "zurück",
+           "nach oben", "zum inhalt( springen)?", "mehr (lesen|erfahren)", "weiterlesen", "teilen", "kontakt",
+           "über uns", "karriere", "impressum", "datenschutz", "datenschutzerklärung", "agb", "hilfe", "aktuelles"],
+    "fr": ["accueil", "rechercher?", "connexion", "(se )?déconnecter", "s'inscrire", "suivant", "précédent",
+           "haut de page", "aller au contenu", "lire la suite", "en savoir plus", "partager", "contactez-nous",
+           "à propos", "qui sommes-nous", "emplois?", "mentions légales", "confidentialité", "plan du site", "aide",
+           "actualités"],
+    "es": ["inicio", "menú", "buscar", "iniciar sesión", "cerrar sesión", "registrarse", "siguiente", "anterior",
+           "volver arriba", "ir al contenido", "leer más", "compartir", "contacto", "contáctenos", "sobre nosotros",
+           "quiénes somos", "empleo", "aviso legal", "privacidad", "mapa del sitio", "ayuda", "noticias"],
+}
+NOTICES = {
+    "en": ["all rights reserved", "cookie (policy|settings|notice)", "we use cookies", "uses cookies", "accept (all )?cookies",
+           "privacy policy", "terms (of use|of service|and conditions)", "enable javascript", "subscribe to our", "lorem ipsum"],
+    "de": ["alle rechte vorbehalten", "verwende(n|t) cookies", "nutz(en|t) cookies", "cookies? (akzeptieren|zulassen)",
+           "cookie-(richtlinie|einstellungen|hinweis)", "datenschutzerklärung", "allgemeine geschäftsbedingungen",
+           "nutzungsbedingungen", "javascript aktivieren", "newsletter abonnieren"],
+    "fr": ["tous droits réservés", "utilis(e|ons) des cookies", "(accepter|gérer) les cookies", "mentions légales",
+           "politique de (confidentialité|cookies)", "conditions générales", "conditions d'utilisation", "activer javascript",
+           "abonnez-vous à notre"],
+    "es": ["todos los derechos reservados", "utiliza(mos)? cookies", "usa(mos)? cookies", "aceptar (las )?cookies",
+           "política de (privacidad|cookies)", "aviso legal", "términos y condiciones", "condiciones de uso",
+           "habilit(e|ar) javascript", "suscríbe(te|se) a nuestr"],
+}
+# --- end of fixed values ----------------------------------------------------
+
+
+def _any(lists: dict[str, list[str]]) -> str:
+    return "(?:" + "|".join(x for words in lists.values() for x in words) + ")"
+
+
+#: Nothing but menu entries, however they are set apart.
+_BETWEEN = r"[\s|/\x{00B7}\x{00BB}\x{00AB}\x{203A}\x{2039}\x{2192}\x{2022}\x{2013}-]"
+_NAVIGATION_LINE = f"(?iu)^{_BETWEEN}*{_any(NAVIGATION)}(?:{_BETWEEN}+{_any(NAVIGATION)})*{_BETWEEN}*$"
+_BOILERPLATE = rf"(?iu)(?<!\pL){_any(NOTICES)}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,8 +130,8 @@ def line_fails(x: Column) -> Column:
             | ((n >= BARE_WORDS) & (marks * MAX_BARE_WORDS < n))
             | ((n >= 4) & line.contains("!!") & (4 * shouts > n))
             | ((bars >= 2) & (5 * bars > n))
-            | ((n <= 6) & line.rlike(_NAVIGATION_LINE))
-            | ((n <= BARE_WORDS) & line.rlike(_BOILERPLATE)))
+            | ((n > 0) & (n <= NAVIGATION_WORDS) & line.rlike(_NAVIGATION_LINE))
+            | ((n <= NOTICE_WORDS) & line.rlike(_BOILERPLATE)))
 
 
 def _parsed(text: Column) -> Column:
@@ -141,5 +184,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are."""
-    return docs.filter(let(measures(F.col("text")), lambda m: m["kept"]))
+    """The rows of ``docs`` that are kept, without their failing lines; ``n_chars``,
+    where there is such a column, is the length of what is left.  All other columns
+    stay as they are; a document without a failing line stays as it is."""
+    kept = docs.filter(let(measures(F.col("text")), lambda m: m["kept"])).withColumn("text", cleaned_text(F.col("text")))
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
