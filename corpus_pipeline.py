@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go."""
+    """Lines that fail the rules go, and so do documents that would lose too much."""
     return rules.keep_clean(docs)
 
 
