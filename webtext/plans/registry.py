@@ -331,10 +331,10 @@ def repair_text(spark, sf):
 # ---- language + scores ----------------------------------------------------------------------
 
 def profile_table(spark, sf):
-    """Trigram counts per language over every labelled document, written once,
-    and its languages (the values of a code column: a handful of rows)."""
+    """Trigram counts per language over every labelled document, trained once and
+    stored, and its languages (the values of a code column: a handful of rows)."""
     d = FX.table(spark, sf, "documents").select("text", "lang")
-    prof = files.materialise(spark, language.language_profiles(d), "profiles")
+    prof = files.stored_model(spark, language.language_profiles, d, "profiles")
     langs = sorted(r[0] for r in prof.select("lang").distinct().collect())
     return prof, langs
 
@@ -359,7 +359,7 @@ def language_accuracy(spark, sf):
     """Detection of a third of the documents with profiles of the other two."""
     d = FX.table(spark, sf, "documents").select("doc_id", "text", "lang")
     out = classify.held_out(F.col("doc_id"))
-    prof = files.materialise(spark, language.language_profiles(d.filter(~out)), "profiles")
+    prof = files.stored_model(spark, language.language_profiles, d.filter(~out), "profiles")
     langs = sorted(r[0] for r in prof.select("lang").distinct().collect())
     found = language.detect_language(d.filter(out), prof, langs)
     return (found.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"),
@@ -439,7 +439,7 @@ def study_texts(spark, sf):
 
 def word_models(spark, sf, coded=None):
     coded = FX.hand_coded(spark, sf) if coded is None else coded
-    return (files.materialise(spark, classify.word_model(coded), "word-model"), classify.priors(coded))
+    return tuple(files.stored_model(spark, train, coded, "class-model") for train in (classify.word_model, classify.priors))
 
 
 @query

@@ -3,6 +3,9 @@ append-only result stores, and materialisation into the shared folder."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
 from functools import reduce
 from urllib.parse import unquote, urlsplit
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions.text import strip_ws
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
                # keep surrounding whitespace of values (the writer trims by default)
@@ -96,6 +99,43 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _files_of(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Name, length and time of the files that ``df`` reads, listed folder by folder."""
+    spark, paths = df.sparkSession, df.inputFiles()
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    wanted, found = {path_of(f).toUri().getPath() for f in paths}, []
+    for folder in sorted({f.rpartition("/")[0] for f in paths}):
+        where = path_of(folder)
+        found += [(path, int(st.getLen()), int(st.getModificationTime())) for st in where.getFileSystem(conf).listStatus(where)
+                  if (path := st.getPath().toUri().getPath()) in wanted]
+    return sorted(found)
+
+
+def stored_model(spark: SparkSession, train: Callable[[DataFrame], DataFrame], source: DataFrame, name: str) -> DataFrame:
+    """``train(source)``, trained once and read again by every later job that trains
+    the same way on the same rows.
+
+    It lies below the shared checkpoint folder, or the folder that
+    ``spark.webtext.models`` names, under a key of the source's plan and the names,
+    lengths and times of its files, so other or rewritten files train anew.  Each
+    training has a folder of its own and counts once its success marker is there: one
+    that broke off is passed over, and two at a time do not disturb each other.  A
+    source that reads no file is trained each time."""
+    files = _files_of(source)
+    if not files:
+        return materialise(spark, train(source), name)
+    key = hashlib.md5(repr((name, train.__module__, train.__qualname__, source.semanticHash(), files)).encode()).hexdigest()
+    base = spark.conf.get("spark.webtext.models", None) or ensure_checkpoint_dir(spark).rstrip("/") + "/models"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{key}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*/_SUCCESS"))
+    if done:
+        return spark.read.parquet(min(st.getPath().getParent().toString() for st in done))
+    path = f"{base}/{name}-{key}/{uuid.uuid4().hex}"
+    train(source).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back.
 
