@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import on_workers, scratch_path  # noqa: F401
 
 #: ASCII white space of all word and line contracts (space, \t \n \v \f \r).
 WS_BYTES = b" \t\n\x0b\x0c\r"
 #: The smallest long stands for a null doc_id inside joins; it sorts first.
 NULL_ID = -(2 ** 63)
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed there
-    but lies at the same path (local mode, shared home).  Clusters ship it with
-    ``--py-files``; then this changes nothing that matters."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-
-
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
