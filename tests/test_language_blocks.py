@@ -31,3 +31,30 @@ def test_blocks_hold_every_trigram(monkeypatch):
         monkeypatch.setattr(L, "BLOCK", size)
         assert [(r, g) for rows, grams in L._blocks(texts) for r, g in zip(rows.tolist(), L._gram_texts(grams))] == want
 
+
+
+def test_rows_scored_in_blocks_as_by_the_join(spark, monkeypatch):
+    train = spark.createDataFrame([("en", "the cat sat on the mat"), ("de", "die Katze saß auf der Matte 😀"), ("fr", "le chat")],
+                                  "lang string, text string")
+    texts = ["the cat", "die  Katze", "le chat", "", None, "  ", "日本", "a", "the Katze", "die 😀 Matte", "the cat " * 300,
+             "die Katze " * 9 + "the cat", "x", "the cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    prof, langs = L.language_profiles(train).localCheckpoint(), ["de", "en", "fr"]
+    joined = L.detect_language(df, prof, langs, "id", unique=True)
+    want = {r.id: (r.detected, r.language) for r in joined.collect()}
+    assert want[0] == ("en", "eng") and want[1] == ("de", "ger") and want[4] == (None, "Other") and want[6] == (None, "Error")
+
+    def blocks():
+        out = L.detect_in_blocks(df, prof, langs, "id")
+        return out.columns, {r.id: (r.detected, r.language) for r in out.collect()}
+
+    assert blocks() == (joined.columns, want)
+    monkeypatch.setattr(L, "MAX_BROADCAST_BYTES", 0)
+    assert blocks() == (joined.columns, want)
+
+
+def test_a_chain_row_is_detected_once(spark):
+    """No row per trigram, no exchange and no join behind the rows of the keyword filter."""
+    from webtext.plans.registry import QUERIES
+    plan = QUERIES["study_texts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "Exchange" not in plan
