@@ -58,3 +58,16 @@ def test_corpus_summary_counts_null_domain(spark):
     df = spark.createDataFrame([("u1", "d1"), ("u1", None), ("u2", None)], "url string, domain string")
     r = clean.corpus_summary(df).first()
     assert (r.num_rows, r.num_unique_urls, r.num_unique_domains, r.mean_rows_per_url) == (3, 2, 2, 1.5)
+
+
+def test_rows_that_late_filters_drop_carry_no_text(spark):
+    """They still hide their repeats, as before."""
+    cols = "country string, domain string, url string, order bigint, text string, text_length int"
+    df = spark.createDataFrame([("ger", "d", "http://a", 2, "long", 4000), ("ger", "d", "http://b", 2, "long", 4),
+                                ("ger", "d", "http://a/datenschutz", 3, "p", 1), ("ger", "d", "http://c", 2, "kept", 4),
+                                ("usa", "d", "http://c", 3, "kept", 4), ("usa", "d", "http://c", 4, "unknown", None)], cols)
+    firsts = clean.dedupe_domain_text(df, clean.passes_late_filters())
+    got = sorted(tuple(r) for r in firsts.select("url", "order", "text").collect())
+    assert got == [("http://a", 2, None), ("http://a/datenschutz", 3, None), ("http://c", 2, "kept"), ("http://c", 4, None)]
+    assert [r.text for r in clean.late_filters(firsts).collect()] == ["kept"]
+    assert [r.text for r in clean.late_filters(clean.dedupe_domain_text(df)).collect()] == ["kept"]
