@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from webtext.operators import language as L
 
 TEXTS = [("en", "the cat 😀 sat"), ("en", "ab\0"), ("en", ""), ("en", None), (None, "xyz"), ("de", " İ \x1f x  y"), ("de", "日本語 und 日本語")]
@@ -58,3 +60,29 @@ def test_a_chain_row_is_detected_once(spark):
     from webtext.plans.registry import QUERIES
     plan = QUERIES["study_texts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and "Exchange" not in plan
+
+
+def test_white_space_is_collapsed_in_blocks(spark, monkeypatch):
+    texts = [" a  \t b\r\n\u0085c ", " 　 ", "  ", " x\x1f\x1c y​᠎ z ", "      \x0b\x0cq ",
+             " é 😀  \t 日 " * 9, " \t ", " end\n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plain = {r.id: r.t for r in df.select("id", L.padded(F.col("text")).alias("t")).collect()}
+    want = [(i, plain[i][j:j + 3]) for i in range(len(texts)) for j in range(len(plain[i]) - 2)]
+    for size in (3, 7, 50, 1 << 19):
+        monkeypatch.setattr(L, "BLOCK", size)
+        assert [(r, g) for rows, grams in L._blocks(texts) for r, g in zip(rows.tolist(), L._gram_texts(grams))] == want
+        counts = Counter()
+        for grams, n in L._blocks(texts, L._gram_counts):
+            counts.update(dict(zip(L._gram_texts(grams), n.tolist())))
+        assert +counts == Counter(g for _, g in want)
+
+
+def test_training_and_scoring_search_no_white_space(spark):
+    """A text goes to the arrays as it is; whether it is blank is told by its first other character."""
+    df = spark.createDataFrame([(1, "en", "the cat sat on the mat"), (2, "de", "   "), (3, "en", None),
+                                (4, "de", " die  Katze saß auf der Matte ")], "id int, lang string, text string")
+    prof = L.language_profiles(df)
+    found = L.detect_in_blocks(df, prof.localCheckpoint(), ["de", "en"], "id")
+    for plan in (prof, found):
+        assert "regexp_replace" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.language for r in found.collect()} == {1: "eng", 2: "Other", 3: "Other", 4: "ger"}
