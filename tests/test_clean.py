@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from webtext.operators import clean
 from webtext.plans import fixtures as FX
 
@@ -71,3 +73,27 @@ def test_rows_that_late_filters_drop_carry_no_text(spark):
     assert got == [("http://a", 2, None), ("http://a/datenschutz", 3, None), ("http://c", 2, "kept"), ("http://c", 4, None)]
     assert [r.text for r in clean.late_filters(firsts).collect()] == ["kept"]
     assert [r.text for r in clean.late_filters(clean.dedupe_domain_text(df)).collect()] == ["kept"]
+
+
+def test_dropped_long_texts_are_cut_and_change_nothing(spark):
+    """They are sorted, counted and hide repeats as whole ones do."""
+    long, n = "word " * 3000, clean.MAX_TEXT_LENGTH
+    spaced = ("ab" + " " * 40) * 150                      # long as it is stored, short afterwards
+    short = ("ab " * 150).strip()
+    url = "http://a.example.org/1"
+    data = [(1, "a", "z last"), (1, "b", long + "b"), (1, "c", long + "a"), (1, "d", "word"), (1, "e", long[:n + 99].strip()),
+            (2, "f", spaced), (3, "g", short), (4, "h", "x" * n), (5, "i", "x" * (n - 1)), (6, "j", "\t" * n + "x" * (n - 1)),
+            (7, "k", None), (8, "l", long + "Cookies"), (9, "m", "end")]
+    df = spark.createDataFrame([("ger", url, pos, "p", text, text and len(text), row) for pos, row, text in data],
+                               "country string, url string, pos int, tag string, text string, text_length int, row string")
+    df = df.withColumn("url_redirect", F.lit(None).cast("string"))
+    rules = FX.suffix_rules(spark)
+    whole = (df.transform(clean.filter_boilerplate).transform(clean.normalise_text).transform(lambda d: clean.add_domain(d, rules))
+             .transform(clean.add_element_order).transform(clean.dedupe_domain_text).transform(clean.late_filters)
+             .transform(clean.add_word_count))
+    cols = ["row", "order", "domain", "text", "text_length", "text_words"]
+    got = sorted(map(tuple, clean.clean_corpus(df, rules).select(cols).collect()))
+    assert got == sorted(map(tuple, whole.select(cols).collect()))
+    assert [(r[0], r[1]) for r in got] == [("a", 6), ("d", 2), ("i", 10), ("m", 12)]
+    cut = {r.row: len(r.text) for r in clean.normalise_text(df.filter("text IS NOT NULL"), whole=F.col("text_length") < n).collect()}
+    assert cut["b"] == cut["c"] == cut["l"] == clean.HEAD - 1 and cut["f"] == len(short) and cut["j"] == n - 1
