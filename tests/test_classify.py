@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,45 @@ def test_class_scores_by_definition(spark, monkeypatch, limit):
             assert [got[key][t] for t in "123"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("words", [1, 3, 6])
+def test_scores_by_frequent_and_other_words(spark, monkeypatch, words):
+    """As many words are broadcast as fit in memory; those as frequent as the next one are joined."""
+    coded = spark.createDataFrame([*CODED, ("eng", "we we grow we", 1)], "language string, text string, code int")
+    df = spark.createDataFrame([*TEXTS, (8, "eng", "we choose prices unknown we " * 50)], "doc_id long, language string, text string")
+    model, prior = C.word_model(coded).localCheckpoint(), C.priors(coded)
+
+    def scores():
+        return {(r.doc_id, r.token): r.logprob for r in C.class_scores(df, model, prior, ["doc_id"]).collect()}
+
+    want = scores()
+    assert C.split_model(model)[1] is None
+    n, letters = model.count(), sum(len(r.word) for r in model.collect())
+    monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", (n * C.WORD_BYTES + 2 * letters) * words // n)
+    frequent, rare = C.split_model(model)
+    assert frequent.count() < words + 1 and frequent.count() + rare.count() == n
+    assert rows(frequent.unionAll(rare)) == rows(model)
+    got = scores()
+    assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx([want[k] for k in want])
+
+
+def test_model_small_in_files_only_is_not_broadcast_whole(spark, monkeypatch, tmp_path):
+    """20,000 words take some 200 kB of files and 4 MB of the driver's memory."""
+    word = F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    path = str(tmp_path / "model")
+    spark.range(20_000).select(F.lit("eng").alias("language"), word.alias("word"), *[
+        F.when(F.col("id") < 500, -5.0).otherwise(-9.0).alias(f"lp_{c}") for c in C.CODES]).coalesce(1).write.parquet(path)
+    model = spark.read.parquet(path)
+    prior = spark.createDataFrame([("eng", -1.0, -1.0, -1.0)], "language string, p_1 double, p_2 double, p_3 double")
+    df = spark.createDataFrame([(1, "eng", "wb wjjj wbaaaa")], "doc_id long, language string, text string")
+    monkeypatch.setattr(C, "MAX_BROADCAST_BYTES", 1 << 20)
+    assert sum(f.stat().st_size for f in (tmp_path / "model").iterdir()) < C.MAX_BROADCAST_BYTES
+    got = C.class_scores(df, model, prior, ["doc_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[language#\d+, word#", plan)
+    assert C.split_model(model)[0].count() == 500
+    assert [r.logprob for r in got.collect()] == pytest.approx([math.log(1 / 3)] * 3)
+
+
 def test_no_rows_teach_nothing(spark):
     coded = spark.createDataFrame([], "language string, text string, code int")
     df = spark.createDataFrame(TEXTS, "doc_id long, language string, text string")

@@ -19,12 +19,13 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import estimated_bytes
 from .scores import CONCEPT_LABELS
 
 CODES = list(CONCEPT_LABELS)
-# A model up to this many bytes, by Spark's estimate, is broadcast.
+# Words of a model that take up to this many bytes of memory are broadcast.
 MAX_BROADCAST_BYTES = 64 << 20
+# What a broadcast word takes beside its letters, which are there twice.
+WORD_BYTES = 192
 
 
 def held_out(key) -> F.Column:
@@ -59,21 +60,38 @@ def priors(coded: DataFrame) -> DataFrame:
                                        for c in CODES])
 
 
+def split_model(model: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent words of the model, as many as may be broadcast, and the others if
+    there are any.  The size is that in memory, some ten times that of the model's files."""
+    n, letters = model.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    size = n * WORD_BYTES + 2 * letters
+    if size <= MAX_BROADCAST_BYTES or not n:
+        return model, None
+    share = reduce(add, [F.exp(f"lp_{c}") for c in CODES])
+    least = model.agg(F.percentile_approx(share, 1 - max(MAX_BROADCAST_BYTES, 0) / size)).first()[0]
+    # words as frequent as the least one are many: all of them are among the others
+    return model.filter(share > least), model.filter(share <= least)
+
+
 def class_scores(df: DataFrame, model: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., token, logprob): a row per class for each row (keys..., language,
     text) of ``df``; rows of one key and language are scored as one text.
 
-    A score is a sum, so the model is joined where the words are read and summed
-    per row before the only exchange.  A model too large to broadcast is joined by
-    language and word, after the repeats within each row are counted, with the most
-    frequent words left to the skew handling of the join."""
-    found = words(df, [*keys, "language"]).withColumn("n", F.lit(1))
-    if estimated_bytes(model) <= MAX_BROADCAST_BYTES:
-        model = F.broadcast(model)
-    else:
-        found = found.groupBy(*keys, "language", "word").agg(F.sum("n").alias("n"))
-    sums = (found.join(model, ["language", "word"], "left").groupBy(*keys, "language")
-            .agg(*[F.coalesce(F.sum(F.col("n") * F.col(f"lp_{c}")), F.lit(0.0)).alias(f"s_{c}") for c in CODES]))
+    A score is a sum, so the model's words are joined where the words are read and summed
+    per row before the only exchange of the scores.  Of a model too large to broadcast this
+    holds for its most frequent words, which are most of any text; the words not found there
+    are read again and joined to the others by language and word.  ``df`` is then read twice,
+    so a long plan should be written first."""
+    scores = [f"lp_{c}" for c in CODES]
+    frequent, rare = split_model(model)
+    found = words(df, [*keys, "language"]).join(F.broadcast(frequent), ["language", "word"], "left")
+    if rare is not None:
+        # looks at all scores, so that both readings share one broadcast
+        others = found.filter(F.coalesce(*scores).isNull()).select(*keys, "language", "word")
+        # by its files' size the rest of the model may look small enough to be broadcast
+        found = found.unionByName(others.join(rare.hint("merge"), ["language", "word"]))
+    sums = (found.groupBy(*keys, "language")
+            .agg(*[F.coalesce(F.sum(f"lp_{c}"), F.lit(0.0)).alias(f"s_{c}") for c in CODES]))
     scored = sums.join(prior, "language").select(*keys, *[(F.col(f"s_{c}") + F.col(f"p_{c}")).alias(f"s_{c}") for c in CODES])
     top = F.greatest(*[F.col(f"s_{c}") for c in CODES])
     scored = scored.withColumn("_top", top)
