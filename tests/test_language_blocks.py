@@ -1,5 +1,6 @@
 """Trigrams as numbers, counted in blocks of texts."""
 
+import tracemalloc
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -86,3 +87,20 @@ def test_training_and_scoring_search_no_white_space(spark):
     for plan in (prof, found):
         assert "regexp_replace" not in plan._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.language for r in found.collect()} == {1: "eng", 2: "Other", 3: "Other", 4: "ger"}
+
+
+def test_profile_is_turned_into_numbers_in_parts(spark):
+    """The driver holds the arrays that it broadcasts, 32 bytes a trigram here, and twice that at most in all."""
+    n = 1 << 17
+    gram = F.concat(*[F.char(33 + F.shiftright("id", shift) % 64) for shift in (0, 6, 12)])
+    prof = spark.range(n).select(gram.alias("gram"), F.lit(-5.0).alias("lp_de"), (-10 * F.col("id") / n).alias("lp_en"))
+    prof = prof.localCheckpoint()
+    best = L._detector(spark, prof, ["de", "en"], 0.9)
+    tracemalloc.start()
+    try:
+        L._detector(spark, prof, ["de", "en"], 0.9)
+        assert tracemalloc.get_traced_memory()[1] < 90 * n
+    finally:
+        tracemalloc.stop()
+    df = spark.createDataFrame([("!!!",), ("``@",), ("~~~",)], "text string")
+    assert [r[0] for r in df.select(best("text")).collect()] == ["en", "de", None]
